@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.storage import workspace
 from ..operators.bucketed_table import BucketedTable
 from ..operators.row_events import row_events, with_keys
-from .tables import table
+from ..streaming.deduplicate import Deduplicator
+from .tables import stream, table
 
 
 def _present(spark: SparkSession, d: str) -> DataFrame:
@@ -31,5 +32,28 @@ def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     return _present(spark, d).select("namespace", "name", "row_key", F.col("after").alias("image"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows}
-SQL: dict[str, str] = {}
+CHANGE = ["namespace", "name", "lsn", "sequence"]
+
+
+def _deduplicated(spark: SparkSession, d: str, payload: list[str]) -> Deduplicator:
+    run = Deduplicator(spark, workspace(spark, "deduplicate"), CHANGE, "received_at", "delivery_id", "lsn", payload=payload)
+    run.run(stream(spark, d, "modifications").where("lsn is not null"))
+    return run
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Changes delivered more than once."""
+    return _deduplicated(spark, d, []).repeats()
+
+
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    """One copy of each change: the first that the state store let through."""
+    return _deduplicated(spark, d, ["timestamp", "before", "after"]).kept().select(*CHANGE, "timestamp", "before", "after")
+
+
+QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_kept": p2_kept}
+SQL: dict[str, str] = {
+    "p2_found": """
+        select namespace, name, lsn, sequence from modifications where lsn is not null
+        group by namespace, name, lsn, sequence having count(*) > 1""",
+}

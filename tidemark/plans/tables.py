@@ -5,3 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
+    """The same as a stream of its files."""
+    # A pattern, as the source takes a folder or a pattern, and the table may be a single file.
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).options(**options).parquet(f"{sf_dir}/{name}.parque[t]")
