@@ -34,8 +34,8 @@ def micros(timestamp: Column) -> Column:
     return F.unix_micros(timestamp)
 
 
-def row_events(keyed: DataFrame, payload: bool = True) -> DataFrame:
-    """One row per (delivery, row concerned): (namespace, name, row_key, ts, is_change, lsn, sequence, alive[, after]).
+def row_events(keyed: DataFrame, payload: bool = True, extra: list[str] | None = None) -> DataFrame:
+    """One row per (delivery, row concerned): (namespace, name, row_key, ts, is_change, lsn, sequence, alive[, after], *extra).
 
     ``alive`` says whether the row exists after the event; an update that changes the key is the end of the old key's row
     and a state of the new key's. ``ts`` is in microseconds. lsn and sequence of imported rows, and a null sequence, are 0.
@@ -55,10 +55,11 @@ def row_events(keyed: DataFrame, payload: bool = True) -> DataFrame:
         F.coalesce("lsn", F.lit(0)).alias("lsn"),
         F.when(F.col("lsn").isNotNull(), F.coalesce("sequence", F.lit(0))).otherwise(F.lit(0)).alias("sequence"),
     ]
-    held = [F.col("after")] if payload else []
+    more = extra or []
+    held = [*([F.col("after")] if payload else []), *more]
     return (
         keyed.where("key_column is not null")
         .select(*TABLE, *order, *held, after_key.alias("after_key"), before_key.alias("before_key"))
         .select(*TABLE, *ORDER, *held, F.explode(F.filter(both, lambda e: e.isNotNull())).alias("row"))
-        .select(*TABLE, "row.row_key", *ORDER, "row.alive", *([F.when(F.col("row.alive"), F.col("after")).alias("after")] if payload else []))
+        .select(*TABLE, "row.row_key", *ORDER, "row.alive", *([F.when(F.col("row.alive"), F.col("after")).alias("after")] if payload else []), *more)
     )
