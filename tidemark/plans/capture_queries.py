@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.images import entries_json
 from ..functions.storage import workspace
 from ..operators.bucketed_table import BucketedTable
+from ..operators.history import HistoryStore
+from ..operators.incremental import RECORD, IncrementalRun, changed_jobs, open_imports, pending_offsets, untaken_records
 from ..operators.row_events import row_events, with_keys
+from ..operators.schema_registry import SchemaRegistry
 from ..streaming.deduplicate import Deduplicator
 from .tables import stream, table
 
@@ -51,7 +55,61 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     return _deduplicated(spark, d, ["timestamp", "before", "after"]).kept().select(*CHANGE, "timestamp", "before", "after")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p2_kept": p2_kept}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """What the next sink run still has to take: changes, imported rows and import jobs."""
+    at = workspace(spark, "incremental")
+    mods, runs, jobs = (table(spark, d, x) for x in ("modifications", "sink_runs", "import_jobs"))
+    run = IncrementalRun(spark, f"{at}/run")
+    number = run.plan(lambda: {"offsets": pending_offsets(mods, runs), "imports": open_imports(jobs), "jobs": changed_jobs(jobs, runs)})
+    columns = ["subscription_id", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after"]
+    keyed = with_keys(mods.select(*columns), table(spark, d, "schema_entries"), f"{at}/keys")
+    run.execute(number, lambda plan: untaken_records(plan, keyed, at))
+    return run.records().select(*RECORD)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each column change that a schema entry of the log brings."""
+    registry = SchemaRegistry(table(spark, d, "schema_entries"), workspace(spark, "schemas"))
+    return registry.steps().select("namespace", "name", "lsn", "column_name", "change")
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All modifications with their row images in the final schema of their table."""
+    registry = SchemaRegistry(table(spark, d, "schema_entries"), workspace(spark, "schemas"))
+    mods = table(spark, d, "modifications").select("delivery_id", "namespace", "name", "lsn", "timestamp", "before", "after")
+    unified = registry.unify(mods, ["delivery_id"])
+    return unified.select("delivery_id", "namespace", "name", "lsn", entries_json(F.col("attributes")).alias("attributes"), F.array_join("misfits", ",").alias("misfits"))
+
+
+def _history(spark: SparkSession, d: str) -> HistoryStore:
+    at = workspace(spark, "history")
+    mods = table(spark, d, "modifications").select("file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
+    store = HistoryStore(spark, f"{at}/store")
+    store.build(row_events(with_keys(mods, table(spark, d, "schema_entries"), f"{at}/keys")))
+    return store
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of every source row, with its period."""
+    return _history(spark, d).versions().select("namespace", "name", "row_key", "valid_from", "valid_to")
+
+
+def p5_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the attributes of each version."""
+    return _history(spark, d).versions().withColumn("attributes", entries_json(F.col("attributes")))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_rows": p1_rows,
+    "p2_found": p2_found,
+    "p2_kept": p2_kept,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_unified": p4_unified,
+    "p5_found": p5_found,
+    "p5_versions": p5_versions,
+}
 SQL: dict[str, str] = {
     "p2_found": """
         select namespace, name, lsn, sequence from modifications where lsn is not null
