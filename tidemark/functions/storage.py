@@ -102,9 +102,11 @@ def attach(left: DataFrame, right: DataFrame, path: str, on: list[str], spread:
 
     ``right`` is first stored at ``path`` and its size read from the files. Up to BROADCAST_BYTES it is broadcast; a
     larger one is joined by key and salt, so that a key with a third of all rows of ``left`` is spread over SALTS tasks.
-    ``spread`` names columns of ``left`` that differ between rows of one key.
+    ``spread`` names columns of ``left`` that differ between rows of one key. A column of ``left`` that has the name of one that
+    ``right`` brings is replaced by it.
     """
     right = stored(right, path)
+    left = left.drop(*[c for c in right.columns if c not in on], "_salt")
     if Storage(left.sparkSession).size(path) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")

@@ -119,8 +119,10 @@ class SchemaRegistry:
         ``attributes`` is an array of (key, value text) in key order, without nulls; a column that a version lacks is null by
         default. A value that its final type cannot hold is left out and its column named in ``misfits``. Changes are routed
         by lsn, imported rows by timestamp, a name that stands for nothing at that place by the last column so named, and
-        one that never stood in a schema entry keeps its name, as text.
+        one that never stood in a schema entry keeps its name, as text. Columns of the input named ``attributes``, ``misfits``,
+        ``rules`` or ``placed`` are replaced.
         """
+        modifications = modifications.drop("attributes", "misfits", "rules", "placed")
         rules = F.struct("column", "since", "until", "since_us", "until_us", "final", "type")
         routes = self.lineages().groupBy(*TABLE).agg(F.sort_array(F.collect_list(rules)).alias("rules"))  # PostgreSQL has at most 1600 columns a table
         routed = attach(modifications, routes, f"{self.path}/routes", TABLE, spread)

@@ -110,8 +110,80 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_versions": p5_versions,
 }
+_KEYS = """
+    k as (
+        select namespace, name, min(c->>'$.name') as kc, min(c->>'$.type') as kt
+        from (select namespace, name, unnest(json_extract(spec, '$.columns[*]')) as c from schema_entries) where c->>'$.key' = 'true' group by all)"""
+_EVENTS = f"""
+    {_KEYS},
+    m as (
+        select m.namespace, m.name, epoch_us("timestamp") as ts, lsn is not null as ch, coalesce(lsn, 0) as lsn, coalesce(sequence, 0) as sequence, after,
+            json_extract_string(before, '$."' || kc || '"') as bk, json_extract_string(after, '$."' || kc || '"') as ak
+        from modifications m join k using (namespace, name)),
+    e as (
+        select namespace, name, ak as row_key, ts, ch, lsn, sequence, true as alive, after from m where ak is not null
+        union all select namespace, name, bk, ts, ch, lsn, sequence, false, null from m where bk is not null and bk is distinct from ak)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+        with {_EVENTS}
+        select namespace, name, row_key, lsn, sequence from (
+            select *, row_number() over (partition by namespace, name, row_key order by ts desc, ch desc, lsn desc, sequence desc) as rn from e)
+        where rn = 1 and alive""",
     "p2_found": """
         select namespace, name, lsn, sequence from modifications where lsn is not null
         group by namespace, name, lsn, sequence having count(*) > 1""",
+    "p3_found": f"""
+        with {_KEYS},
+        r as (
+            select subscription_id, run_id, arg_max(state, logged_at) as state, min(first_file) as f, max(last_file) as l,
+                min(case when state = 'started' then logged_at end) as started from sink_runs group by all),
+        t as (
+            select m.*, exists (select 1 from r where r.state = 'success' and r.subscription_id = m.subscription_id and m.file_no between f and l) as taken
+            from modifications m),
+        j as (
+            select * from (select *, row_number() over (partition by "schema", table_name order by created_at desc, id desc) as rn from import_jobs)
+            where rn = 1 and completed_at is null and expired_at is null),
+        i as (
+            select m.namespace, m.name, json_extract_string(after, '$."' || kc || '"') as v, kt, j.cursor
+            from modifications m join k using (namespace, name) join j on j."schema" = m.namespace and j.table_name = m.name where m.lsn is null),
+        s as (select subscription_id, max(started) as started from r where state = 'success' group by 1)
+        select 'change' as kind, namespace, name, lsn || '/' || sequence as record_key from t where lsn is not null
+        group by namespace, name, lsn, sequence having not bool_or(taken)
+        union all
+        select distinct 'row', namespace, name, v from i
+        where cursor is null or cursor = '' or case when kt in ('20', '21', '23', 'int2', 'int4', 'int8') then cast(v as bigint) > try_cast(cursor as bigint) else v > cursor end
+        union all
+        select 'job', "schema", table_name, cast(id as varchar) from import_jobs left join s using (subscription_id) where s.started is null or updated_at > s.started""",
+    "p4_found": """
+        with c as (
+            select entry_id, namespace, name, lsn, "timestamp" as ts, unnest(json_extract(spec, '$.columns[*]')) as col,
+                generate_subscripts(json_extract(spec, '$.columns[*]'), 1) as pos from schema_entries where lsn is not null),
+        t(oid, tn) as (values ('16', 'bool'), ('20', 'int8'), ('21', 'int2'), ('23', 'int4'), ('25', 'text'), ('701', 'float8'), ('1043', 'varchar'), ('1082', 'date'),
+            ('1184', 'timestamptz'), ('1700', 'numeric')),
+        x as (
+            select entry_id, namespace, name, lsn, ts, list({'n': col->>'$.name', 't': coalesce(tn, col->>'$.type')} order by pos) as now
+            from c left join t on oid = col->>'$.type' group by all),
+        y as (select *, lag(now) over (partition by namespace, name order by lsn, ts, entry_id) as was from x),
+        z as (select *, list_transform(now, lambda v: v.n) as names, list_transform(was, lambda v: v.n) as old_names from y where was is not null and was <> now),
+        n as (
+            select *, not list_contains(old_names, cur.n) as is_new, pos <= len(was) and not list_contains(names, was[pos].n) and was[pos].t = cur.t as fits
+            from (select *, unnest(now) as cur, generate_subscripts(now, 1) as pos from z)),
+        o as (select *, unnest(was) as old, generate_subscripts(was, 1) as pos from z)
+        select namespace, name, lsn, cur.n as column_name, 'renamed' as change from n where is_new and fits
+        union all select namespace, name, lsn, cur.n, 'added' from n where is_new and not fits
+        union all select namespace, name, lsn, cur.n, 'retyped' from n where not is_new and list_filter(was, lambda v: v.n = cur.n)[1].t <> cur.t
+        union all
+        select o.namespace, o.name, o.lsn, old.n, 'removed' from o where not list_contains(names, old.n)
+            and not (pos <= len(now) and not list_contains(old_names, now[pos].n) and now[pos].t = old.t)""",
+    "p5_found": f"""
+        with {_EVENTS},
+        l as (
+            select *, case when alive then list_sort(list_filter(
+                list_transform(json_keys(after), lambda x: x || '=' || json_extract_string(after, '$."' || x || '"')), lambda v: v is not null)) end as state
+            from (select *, row_number() over (partition by namespace, name, row_key, ts order by ch desc, lsn desc, sequence desc) as rn from e) where rn = 1),
+        w as (select *, lag(state) over (partition by namespace, name, row_key order by ts) as was from l),
+        c as (
+            select *, lead(ts) over (partition by namespace, name, row_key order by ts) as until from w where state is distinct from was)
+        select namespace, name, row_key, ts as valid_from, coalesce(until, 0) as valid_to from c where alive""",
 }

@@ -34,16 +34,22 @@ class Deduplicator:
 
     kept(): one row per identifier: ``keys``, ``event_time``, ``copy`` (the least of that column in its first batch) and the
     columns of ``payload``, as the copy let through has them. repeats(): the identifiers delivered more than once.
-    A null event time counts as the time of the first batch's start of time (1970); it is late, and so is looked up.
+    A null event time counts as 1970; it is late, and so is looked up. Columns other than those named are ignored, and
+    those named must not be called as the operator's own (RESERVED). Of no deliveries nothing is kept.
     """
 
+    RESERVED = {"copies", "let_through", "n", "known", "looked_up", "is_new", "is_repeat", "_least", "_copy", "_at"}
+
     def __init__(self, spark: SparkSession, path: str, keys: list[str], event_time: str, copy: str, order: str, delay: str = "7 days", payload: list[str] | None = None):
         self.spark, self.path, self.fs = spark, path.rstrip("/"), Storage(spark)
         self.keys, self.event_time, self.copy, self.order, self.delay, self.payload = keys, event_time, copy, order, delay, payload or []
         self.fields = [*keys, event_time, copy, *self.payload]
+        if taken := self.RESERVED & set(self.fields):
+            raise ValueError(f"columns named {sorted(taken)} must be renamed")
 
     def run(self, source: DataFrame) -> None:
         """Take all that is available now; a later run goes on after it."""
+        self._schema = T.StructType([source.schema[c] for c in self.fields])
         before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
         for k, v in SETTINGS.items():
             self.spark.conf.set(k, v)
@@ -119,6 +125,9 @@ class Deduplicator:
         return self._out(spark, numbers).where("is_new")
 
     def _out(self, spark: SparkSession, numbers: list[int]) -> DataFrame:
+        if not numbers:
+            flags = T.StructType([*self._schema.fields, T.StructField("is_new", T.BooleanType()), T.StructField("is_repeat", T.BooleanType())])
+            return spark.createDataFrame([], flags)
         folders = [f"{self.path}/out/batch={x}" for x in numbers]
         return spark.read.option("basePath", f"{self.path}/out").parquet(*folders)
 
