@@ -1,0 +1,114 @@
+import random
+
+import pytest
+
+from tidemark.operators.bucketed_table import BucketedTable, Conflict
+from tidemark.operators.row_events import row_events, with_keys
+
+from .capture import DOGS, MODIFICATIONS, SCHEMAS, change, present, random_log, schema_entry
+
+
+def events_of(spark, rows, at, entries=(DOGS,)):
+    mods = spark.createDataFrame(rows, MODIFICATIONS)
+    return row_events(with_keys(mods, spark.createDataFrame(list(entries), SCHEMAS), at))
+
+
+def found(table):
+    return {tuple(r) for r in table.rows().select("namespace", "name", "row_key", "lsn", "sequence").collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_batches_in_any_order_give_the_same_state(spark, at, seed):
+    rng = random.Random(seed)
+    rows = random_log(rng, 60)
+    table = BucketedTable(spark, f"{at}/t", buckets=3)
+    cut = rng.randrange(1, len(rows))
+    for i, part in enumerate((rows[:cut], rows[cut:], rows[: cut // 2])):
+        table.apply(events_of(spark, part, f"{at}/k{i}"))
+    assert found(table) == present(rows)
+
+
+def test_only_touched_buckets_get_new_files(spark, at):
+    table = BucketedTable(spark, f"{at}/t", buckets=8)
+    table.apply(events_of(spark, [change(i, i, i + 10, None, {"id": i, "msg": "a"}) for i in range(50)], f"{at}/k"))
+    first = table.manifest()
+    table.apply(events_of(spark, [change(99, 99, 99, {"id": 7, "msg": "a"}, {"id": 7, "msg": "b"})], f"{at}/k2"))
+    second = table.manifest()
+    assert len(first["files"]) == 8 and sum(first["files"][b] != second["files"][b] for b in first["files"]) == 1
+    assert table.rows().count() == 50 and table.rows(first["version"]).where("lsn = 99").isEmpty()
+
+
+def test_late_change_does_not_bring_a_row_back(spark, at):
+    table = BucketedTable(spark, f"{at}/t")
+    table.apply(events_of(spark, [change(1, 5, 50, {"id": 1}, None)], f"{at}/k1"))
+    table.apply(events_of(spark, [change(2, 4, 40, None, {"id": 1, "msg": "old"})], f"{at}/k2"))
+    assert found(table) == set() and table.rows(ended=True).count() == 1
+
+
+def test_replayed_batch_and_empty_batch(spark, at):
+    table = BucketedTable(spark, f"{at}/t")
+    one = events_of(spark, [change(1, 1, 10, None, {"id": 1})], f"{at}/k")
+    assert table.apply(one, "b1") == 1 and table.apply(one, "b1") == 1 and table.apply(one) == 2
+    assert found(table) == {("public", "dogs", "1", 10, 1)}
+    assert table.apply(one.limit(0)) == 2
+    assert BucketedTable(spark, f"{at}/empty").rows().count() == 0
+
+
+def test_lost_race_and_orphan_files(spark, at):
+    table = BucketedTable(spark, f"{at}/t")
+    table.apply(events_of(spark, [change(1, 1, 10, None, {"id": 1})], f"{at}/k"))
+    slow = BucketedTable(spark, f"{at}/t")
+    real = slow.fs.create
+    slow.fs.create = lambda *a: table.fs.create(*a) and real(*a)  # another writer commits first
+    with pytest.raises(Conflict):
+        slow.apply(events_of(spark, [change(2, 2, 20, None, {"id": 2})], f"{at}/k2"))
+
+
+def test_nulls_and_odd_rows(spark, at):
+    rows = [
+        change(1, 1, 10, None, {"id": None, "msg": "no key"}),
+        change(2, 1, 10, None, "not json"),
+        change(3, 1, 10, None, None),
+        change(4, 1, 10, "null", "[1]"),
+        change(5, 1, 10, None, {"id": "x" * 100_000}),
+        change(6, 1, 10, None, {"id": 1}, name="unknown"),
+        change(7, 1, 10, None, {"id": 1}, name=None),
+        change(8, 2, 11, None, {"id": 5}, sequence=None),
+    ]
+    got = found_of(spark, rows, at)
+    assert got == {("public", "dogs", "x" * 100_000, 10, 1), ("public", "dogs", "5", 11, 0)}
+
+
+def found_of(spark, rows, at):
+    table = BucketedTable(spark, f"{at}/t")
+    table.apply(events_of(spark, rows, f"{at}/k"))
+    return found(table)
+
+
+def test_extra_columns_that_clash(spark, at):
+    mods = spark.createDataFrame([change(1, 1, 10, None, {"id": 1})], MODIFICATIONS)
+    for c in ("key_column", "row_key", "ts", "alive", "bucket", "is_change"):
+        mods = mods.selectExpr("*", f"'x' as {c}")
+    entries = spark.createDataFrame([DOGS], SCHEMAS).selectExpr("*", "'x' as key_column")
+    table = BucketedTable(spark, f"{at}/t")
+    table.apply(row_events(with_keys(mods, entries, f"{at}/k")))
+    assert found(table) == {("public", "dogs", "1", 10, 1)}
+
+
+def test_import_after_and_before_changes_and_key_change(spark, at):
+    rows = [
+        change(1, 1, 10, None, {"id": 1, "msg": "a"}),
+        change(2, 3, None, None, {"id": 1, "msg": "a"}),  # later than all changes
+        change(3, 5, 20, None, {"id": 2, "msg": "a"}),
+        change(4, 5, None, None, {"id": 2, "msg": "before"}),  # at the time of a change: before it
+        change(5, 6, 30, {"id": 3}, {"id": 4}),
+    ]
+    assert found_of(spark, rows, at) == present(rows) == {("public", "dogs", "1", 0, 0), ("public", "dogs", "2", 20, 1), ("public", "dogs", "4", 30, 1)}
+
+
+def test_hot_key_is_combined_before_the_shuffle(spark, at):
+    events = events_of(spark, [change(i, i, i + 1, None, {"id": 1, "msg": "m"}) for i in range(50)], f"{at}/k")
+    plan = events.groupBy("namespace", "name", "row_key").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2
+    other = schema_entry(2, 0, 1, [("tag", 20, True)], name="cats")
+    assert events_of(spark, [change(1, 1, 1, None, {"tag": 5}, name="cats")], f"{at}/k2", (DOGS, other)).first()["row_key"] == "5"

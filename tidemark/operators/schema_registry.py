@@ -153,7 +153,7 @@ def cast_text(value: Column, kind: Column) -> Column:
 
     whole = value.try_cast("decimal(38,0)")
     return (
-        F.when(kind.isin("int2", "int4", "int8"), F.when(whole == value.try_cast("decimal(38,18)"), whole.cast("string")))
+        F.when(kind.isin("int2", "int4", "int8"), F.when(value.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), whole.cast("string")))
         .when(kind == "bool", as_("boolean"))
         .when(kind == "date", as_("date"))
         .when((kind == "timestamptz") & value.try_cast("timestamp").isNull(), F.lit(None))
