@@ -112,7 +112,7 @@ class Mixture:
         block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).alias("block")
         self.sizes = stored(token_counts(documents, vocabulary).select("*", block), f"{self.path}/sizes")
         targets = mix_targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-        self.targets = targets.toPandas()
+        self.targets = targets.toPandas().astype({"max_repeats": "Int64"})
         known = self.sizes.select("*", F.when(F.col("source").isin(self.targets["source"].tolist()), F.col("source")).alias("known"))
         sums = known.groupBy(F.coalesce("known", F.lit("")).alias("source"), "block").agg(F.sum("tokens").alias("tokens")).toPandas()
         self.total = int(sums["tokens"].sum())
