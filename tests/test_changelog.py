@@ -1,0 +1,171 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import changelog as fn
+from tidemark.operators import changelog, segments
+from tidemark.operators.numbering import numbered
+from tidemark.sources import replication
+from tidemark.sources.pgoutput import EPOCH, decode, encode_message
+from tidemark.streaming.changelog_stream import changelog_stream
+
+
+def cells(*values):
+    return [{"type": "n", "value": None} if v is None else {"type": "u", "value": None} if v is ... else {"type": "t", "value": v} for v in values]
+
+
+def relation(n, name, *columns, namespace="public"):
+    return {"msg_type": "R", "relation_id": n, "namespace": namespace, "name": name, "replica_identity": "d", "columns": [{"key": i == 0, "name": c, "type": 20 if i == 0 else 25, "modifier": 0} for i, c in enumerate(columns)]}
+
+
+def begin(lsn):
+    return {"msg_type": "B", "lsn": lsn, "timestamp_us": EPOCH + lsn, "xid": lsn}
+
+
+def commit(lsn):
+    return {"msg_type": "C", "lsn": lsn, "transaction_lsn": lsn + 1, "timestamp_us": EPOCH + lsn}
+
+
+LOG = [
+    begin(10), relation(1, "dogs", "id", "msg"), {"msg_type": "I", "relation_id": 1, "row": cells("1", "a")}, {"msg_type": "I", "relation_id": 1, "row": cells("2", None)}, commit(10),
+    begin(20), {"msg_type": "O", "lsn": 1, "name": "o"}, {"msg_type": "U", "relation_id": 1, "row": cells("1", ...)}, relation(1, "dogs", "id", "note"), relation(2, "dogs", "id", "msg", namespace="other"),
+    {"msg_type": "U", "relation_id": 1, "old_kind": "K", "old_row": cells("1", None), "row": cells("3", "b")}, {"msg_type": "I", "relation_id": 2, "row": cells("1", "x")}, commit(20),
+    begin(30), {"msg_type": "D", "relation_id": 1, "old_kind": "K", "old_row": cells("2", None)}, {"msg_type": "I", "relation_id": 1, "row": cells("9")}, commit(30),
+]
+
+
+def decoded(spark, messages, slot="s"):
+    rows = [(slot, i, bytearray(encode_message(m))) for i, m in enumerate(messages)]
+    return decode(spark.createDataFrame(rows, "slot string, position bigint, data binary"), "data", ["slot", "position"]).select("slot", "position", "message")
+
+
+@pytest.fixture(params=[1 / 512, 2.0], ids=["stretches", "whole"])
+def large_share(request, monkeypatch):
+    monkeypatch.setattr(segments, "LARGE_SHARE", request.param)
+    monkeypatch.setattr(segments, "SEGMENTS", 4)
+
+
+def test_entries(spark, large_share):
+    rows = changelog.entries(decoded(spark, LOG).unionByName(decoded(spark, LOG[:5], "other slot"))).where("slot = 's'").orderBy("position").collect()
+    got = [(r["kind"], r["message_type"], f"{r['namespace']}.{r['name']}", r["lsn"], r["sequence"], r["before"], r["after"], r["unchanged"]) for r in rows]
+    assert got == [
+        ("schema", "R", "public.dogs", 10, 1, None, None, []),
+        ("modification", "I", "public.dogs", 10, 2, None, {"id": "1", "msg": "a"}, []),
+        ("modification", "I", "public.dogs", 10, 3, None, {"id": "2", "msg": None}, []),
+        ("modification", "U", "public.dogs", 20, 2, None, {"id": "1", "msg": None}, ["msg"]),
+        ("schema", "R", "public.dogs", 20, 3, None, None, []),
+        ("schema", "R", "other.dogs", 20, 4, None, None, []),
+        ("modification", "U", "public.dogs", 20, 5, {"id": "1", "note": None}, {"id": "3", "note": "b"}, []),
+        ("modification", "I", "other.dogs", 20, 6, None, {"id": "1", "msg": "x"}, []),
+        ("modification", "D", "public.dogs", 30, 1, {"id": "2", "note": None}, None, []),
+        ("modification", "I", "public.dogs", 30, 2, None, None, []),
+    ]
+    assert [c["name"] for c in json.loads(rows[4]["spec"])["columns"]] == ["id", "note"]
+    assert changelog.malformed_rows(changelog.entries(decoded(spark, LOG))).count() == 1
+
+
+def test_messages_out_of_place(spark):
+    for bad in ([relation(5, "x", "id")], [*LOG[:5], relation(5, "x", "id")]):
+        with pytest.raises(Exception, match="outside a transaction"):
+            changelog.entries(decoded(spark, bad)).collect()
+    with pytest.raises(Exception, match="unknown relation"):
+        changelog.entries(decoded(spark, [begin(1), {"msg_type": "I", "relation_id": 7, "row": cells("1")}, commit(1)])).collect()
+
+
+def test_operations(spark):
+    cases = [(None, None, "{}", None, "IMPORT"), (1, None, "{}", None, "INSERT"), (1, "{}", "{}", None, "UPDATE"), (1, "{}", None, None, "DELETE"), (1, None, None, None, "INSERT"), (1, None, "{}", "U", "UPDATE"), (None, "{}", None, "D", "IMPORT")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, lsn bigint, before string, after string, m string, want string")
+    got = df.select("want", fn.operation(df["lsn"], df["before"], df["after"], df["m"]).alias("got"), fn.operation(df["lsn"], df["before"], df["after"]).alias("plain"), "i").orderBy("i").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] and got[5]["plain"] == "INSERT"
+
+
+def test_scalars(spark):
+    one = spark.range(1)
+    columns = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(20).alias("type"), F.lit(m).alias("modifier")) for k, n, m in ((True, "id", 5), (False, "msg", -1))])
+    values = one.select(
+        fn.parse_lsn(F.lit("16/B374D848")).alias("lsn"), fn.format_lsn(F.lit(0x16_B374D848)).alias("text"), fn.fingerprint(columns).alias("print"), F.array_join(fn.primary_key(columns), ",").alias("key"),
+        fn.retry_delay(F.lit(2)).alias("wait"), fn.retry_delay(F.lit(50)).alias("most"), fn.progress(F.lit(2), F.lit(3)).alias("pct"), fn.progress(F.lit(2), F.lit(0)).alias("none"),
+        fn.rfc3339(F.timestamp_seconds(F.lit(0))).alias("time"), fn.slot_name(F.lit("a"), F.lit("b")).alias("slot"), F.length(fn.short_id()).alias("short"), fn.table_reference(F.lit("n"), F.lit("t")).alias("ref"),
+    ).first()
+    import hashlib
+
+    want = hashlib.md5(b"true|id|20|0\nfalse|msg|20|0\n").hexdigest()
+    assert tuple(values) == (0x16_B374D848, "16/B374D848", want, "id", 45.0, 3600.0, 66, 0, "1970-01-01T00:00:00Z", "a_b", 8, "n.t")
+    assert fn.listed("a, b,,c ") == ["a", "b", "c"]
+
+
+def test_filled_and_previous_at_the_edges_of_stretches(spark, large_share):
+    rows = [("g", i, None if i % 3 else i, str(i)) for i in range(1, 40)] + [(None, 1, 5, "a"), (None, 2, None, "b"), ("h", 1, None, None)]
+    df = spark.createDataFrame(rows, "g string, at bigint, v bigint, w string")
+    got = {(r["g"], r["at"]): r["v"] for r in changelog.filled(df, ["g"], "at", ["v"]).collect()}
+    assert got == {**{("g", i): (i // 3 * 3) or None for i in range(1, 40)}, (None, 1): 5, (None, 2): 5, ("h", 1): None}
+    before = {(r["g"], r["at"]): r["b"] for r in changelog.with_previous(df, ["g"], ["at"], {"b": "w"}).collect()}
+    assert before == {**{("g", i): str(i - 1) if i > 1 else None for i in range(1, 40)}, (None, 1): None, (None, 2): "a", ("h", 1): None}
+    assert changelog.filled(df.limit(0), ["g"], "at", ["v"]).count() == 0
+
+
+def test_latest_chooses_before_it_filters(spark):
+    df = spark.createDataFrame([(1, 1, 1, "x"), (1, 2, 1, "DELETE"), (2, 1, 1, "a"), (2, 1, 2, "b"), (3, None, 1, "n"), (None, 1, 1, "k")], "k int, t int, s int, op string")
+    got = {(r["k"], r["op"]) for r in changelog.latest(df, ["k"], ["t", "s"], F.col("op") != "DELETE").collect()}
+    assert got == {(2, "b"), (3, "n"), (None, "k")}
+    assert "WindowGroupLimit" in changelog.latest(df, ["k"], ["t", "s"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_over_a_whole_table(spark, at):
+    df = spark.range(0, 1000, 1, 7).withColumn("v", (F.col("id") * 37) % 1000).drop("id")
+    got = sorted((r["v"], r["n"]) for r in numbered(df, ["v"], "n", f"{at}/n").collect())
+    assert got == [(i, i) for i in range(1000)]
+    assert numbered(df.limit(0), ["v"], "n", f"{at}/e").count() == 0
+
+
+def test_fold_of_results(spark):
+    df = spark.createDataFrame([(5,), (11,), (None,), (7,)], "lsn bigint")
+    assert tuple(changelog.batch_result(df).first()) == (4, 11)
+    assert tuple(changelog.batch_result(df.limit(0)).first()) == (0, None)
+
+
+def test_stream_over_several_batches_equals_the_batch_form(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for slot in ("s", "t"):
+        replication.record(path, slot, [(i, encode_message(m)) for i, m in enumerate(LOG)])
+    replication.register(spark)
+    source = spark.readStream.format("recorded_replication").option("path", path).option("batch", "3").load()
+    messages = decode(source, "data", ["slot", "position"]).select("slot", "position", F.to_json("message").alias("message"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = changelog_stream(messages).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        batches = [p for p in query.recentProgress if p["numInputRows"]]
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert len(batches) >= 6
+    rows = spark.table("streamed").where("slot = 's' and kind <> 'ack'").orderBy("position").collect()
+    batch = changelog.entries(decoded(spark, LOG)).orderBy("position").collect()
+    for a, b in zip(rows, batch, strict=True):
+        assert tuple(a[c] for c in ("position", "kind", "namespace", "name", "lsn", "sequence", "message_type")) == tuple(b[c] for c in ("position", "kind", "namespace", "name", "lsn", "sequence", "message_type"))
+        assert (json.loads(a["after"]) if a["after"] else None) == b["after"] and (json.loads(a["before"]) if a["before"] else None) == b["before"]
+    assert [r["lsn"] for r in spark.table("streamed").where("slot = 't' and kind = 'ack'").orderBy("position").collect()] == [11, 21, 31]
+    assert os.path.exists(path)
+
+
+def test_recorded_source_goes_on_after_its_checkpoint(spark, tmp_path):
+    path = str(tmp_path / "log")
+    replication.register(spark)
+    replication.record(path, "s", [(i, b"x") for i in range(5)])
+    assert spark.read.format("recorded_replication").option("path", path).load().count() == 5
+
+    def drain():
+        source = spark.readStream.format("recorded_replication").option("path", path).option("batch", "2").load()
+        query = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r["position"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert drain() == [0, 1, 2, 3, 4]
+    replication.record(path, "s", [(5, b"y"), (6, b"z")])
+    assert drain() == [0, 1, 2, 3, 4, 5, 6]
+    assert replication.confirmed_position(path, "s") is not None and replication.confirmed_position(path, "no") is None

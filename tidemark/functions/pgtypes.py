@@ -87,7 +87,7 @@ def decode(text: Column, oid: int) -> Column:
     return text.cast(kind)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def array_items(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """One-dimensional array literals as arrays of their items' text; an unquoted NULL is null."""
     for series in texts:

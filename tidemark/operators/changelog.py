@@ -52,9 +52,9 @@ def sequenced(messages: DataFrame) -> DataFrame:
     ended = F.when(kind == "C", F.struct(F.lit(None).cast("bigint").alias("begin_position"), "message.lsn", "message.timestamp_us", F.lit(None).cast("bigint").alias("xid")))
     marked = filled(messages.withColumn("begin", F.coalesce(begin, ended)), ["slot"], "position", ["begin"])
     inside = marked.where(~kind.isin("B", "C"))
-    checked = inside.withColumn("xid", F.when(F.col("begin.xid").isNull(), F.raise_error(F.lit("message outside a transaction"))).otherwise(F.col("begin.xid")))
+    checked = inside.withColumn("begin_lsn", F.when(F.col("begin.xid").isNull(), F.raise_error(F.lit("message outside a transaction"))).otherwise(F.col("begin.lsn")))
     in_transaction = Window.partitionBy("slot", F.col("begin.begin_position")).orderBy("position")
-    return checked.select("slot", "position", "message", F.col("begin.lsn").alias("begin_lsn"), F.col("begin.timestamp_us").alias("commit_us"), "xid", F.row_number().over(in_transaction).cast("bigint").alias("sequence"))
+    return checked.select("slot", "position", "message", "begin_lsn", F.col("begin.timestamp_us").alias("commit_us"), "begin.xid", F.row_number().over(in_transaction).cast("bigint").alias("sequence"))
 
 
 def resolved(messages: DataFrame) -> DataFrame:

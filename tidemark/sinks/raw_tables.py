@@ -21,18 +21,19 @@ NAMES = {name: oid for oid, (name, _) in TYPES.items()} | {v: k for k, v in OID_
 
 @dataclass(frozen=True)
 class TableSchema:
-    """A source table's schema: (name, oid, is key) by column order."""
+    """A source table's schema: (name, oid, is key) by column order, and the log position since which it holds."""
 
     namespace: str
     name: str
     columns: tuple[tuple[str, int, bool], ...]
+    since: int = field(default=-1, compare=False)
 
     @classmethod
-    def of(cls, namespace: str, name: str, spec: str) -> TableSchema:
+    def of(cls, namespace: str, name: str, spec: str, since: int = -1) -> TableSchema:
         def oid(kind) -> int:
             return int(kind) if str(kind).isdigit() else NAMES[str(kind)]
 
-        return cls(namespace, name, tuple((c["name"], oid(c["type"]), bool(c.get("key"))) for c in json.loads(spec)["columns"]))
+        return cls(namespace, name, tuple((c["name"], oid(c["type"]), bool(c.get("key"))) for c in json.loads(spec)["columns"]), since)
 
     @property
     def key(self) -> list[str]:
@@ -67,20 +68,20 @@ class RawTables:
             for number in self.fs.names(f"{self.path}/schemas/{ref}"):
                 if number.endswith(".json"):
                     x = self.fs.load(f"{self.path}/schemas/{ref}/{number}")
-                    self.schemas.setdefault(ref, []).append(TableSchema(x["namespace"], x["name"], tuple((n, o, k) for n, o, k in x["columns"])))
+                    self.schemas.setdefault(ref, []).append(TableSchema(x["namespace"], x["name"], tuple((n, o, k) for n, o, k in x["columns"]), x["since"]))
 
     def register(self, schema: TableSchema) -> str:
-        """``noop`` if the table's newest schema is this one, otherwise ``update``."""
+        """``noop`` if the table's newest schema is this one, or one from as late in the log is known; otherwise ``update``."""
         seen = self.schemas.setdefault(schema.reference, [])
-        if seen and seen[-1] == schema:
+        if seen and (seen[-1] == schema or -1 < schema.since <= seen[-1].since):
             return "noop"
-        self.fs.create(f"{self.path}/schemas/{schema.reference}/{len(seen):06d}.json", {"namespace": schema.namespace, "name": schema.name, "columns": [list(c) for c in schema.columns]})
+        self.fs.create(f"{self.path}/schemas/{schema.reference}/{len(seen):06d}.json", {"namespace": schema.namespace, "name": schema.name, "columns": [list(c) for c in schema.columns], "since": schema.since})
         seen.append(schema)
         return "update"
 
-    def append(self, ref: str, rows: DataFrame, batch: int, part: int = 0) -> None:
-        """Append modifications of one table under its newest schema, by day and sorted by key."""
-        schema = self.schemas[ref][-1]
+    def append(self, ref: str, rows: DataFrame, batch: int, part: int = 0, before: int | None = None) -> None:
+        """Append modifications of one table under its newest schema, or the newest ``before`` a log position, by day and sorted by key."""
+        schema = [s for s in self.schemas[ref] if before is None or s.since < before][-1]
         payload = schema.payload(F.coalesce("after", "before"))
         what = operation(F.col("lsn"), F.col("before"), F.col("after"), F.col("message_type") if "message_type" in rows.columns else None)
         raw = rows.select("timestamp", "lsn", "sequence", what.alias("operation"), payload.alias("payload"), F.to_date("timestamp").alias("date"))
@@ -144,13 +145,13 @@ class BatchSink:
             for part, (position, spec) in enumerate([*marks.get(ref, []), (None, None)]):
                 span = own if low is None else own.where(F.col("position") > low)
                 span = span if position is None else span.where(F.col("position") < position)
-                if ref in self.tables.schemas and not span.isEmpty():
-                    self.tables.append(ref, span, batch, part)
-                elif ref not in self.tables.schemas and not span.isEmpty():
-                    raise ValueError(f"modifications of {ref} came before any schema of it")
+                if not span.isEmpty():
+                    if not any(position is None or s.since < position for s in self.tables.schemas.get(ref, [])):
+                        raise ValueError(f"modifications of {ref} came before any schema of it")
+                    self.tables.append(ref, span, batch, part, position)
                 if position is not None:
                     namespace, _, name = ref.partition(".")
-                    self.tables.register(TableSchema.of(namespace, name, spec))
+                    self.tables.register(TableSchema.of(namespace, name, spec, position))
                     low = position
         if self.ack:
             top = rows.where("kind = 'ack'").agg(F.max("lsn")).first()[0]

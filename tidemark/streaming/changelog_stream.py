@@ -44,11 +44,12 @@ class ChangelogProcessor(StatefulProcessor):
             elif kind == "C":
                 out.append({"slot": key[0], "position": position, "kind": "ack", "timestamp_us": m["timestamp_us"], "lsn": m["transaction_lsn"], "last_in_transaction": True})
                 begin = None
-            elif kind in "RIUD":
+            else:
                 if begin is None:
                     raise OutOfTransaction(f"message {kind} at {position} of {key[0]}")
                 begin = (*begin[:3], begin[3] + 1)
-                out.append(self._entry(key[0], position, kind, m, begin))
+                if kind in "RIUD":
+                    out.append(self._entry(key[0], position, kind, m, begin))
         if begin is None:
             self._begin.clear()
         else:
@@ -58,7 +59,7 @@ class ChangelogProcessor(StatefulProcessor):
             made = pd.DataFrame(out).reindex(columns=names)
             for c in ("lsn", "sequence", "timestamp_us", "position"):
                 made[c] = made[c].astype("Int64")
-            made["last_in_transaction"] = made["last_in_transaction"].fillna(False).astype(bool)
+            made["last_in_transaction"] = made["last_in_transaction"] == True  # noqa: E712 - null for most
             yield made.astype(object).where(made.notna(), None)
 
     def _entry(self, slot: str, position: int, kind: str, m: dict, begin: tuple) -> dict:
