@@ -6,16 +6,20 @@ be imported, ``orders`` and ``lineitem`` for tables and their jobs, ``nation`` a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import changelog as fn
+from ..functions.images import image
 from ..functions.storage import workspace
 from ..operators import changelog, control, imports, metrics, numbering
 from ..sources import pgoutput
-from .tables import table
+from ..streaming.changelog_stream import changelog_stream, write_entries
+from .tables import stream, table
 
 
 def _lsn_time(rows: DataFrame) -> DataFrame:
@@ -187,46 +191,63 @@ def lsn_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "modifications").where("lsn is not null").select("delivery_id", text.alias("lsn_text"), fn.parse_lsn(text).alias("lsn"))
 
 
-def wal_entries(s: SparkSession, d: str) -> DataFrame:
-    """Events as the bytes of a replication stream, decoded, put in sequence and resolved again."""
-    relation = {"relation_id": 1, "namespace": "public", "name": "users", "columns": [{"key": True, "name": "user_id", "type": 20, "modifier": 0}, {"key": False, "name": "value", "type": 701, "modifier": 0}]}
+def _recorded(events: DataFrame, last: Column) -> DataFrame:
+    """Events as the bytes of replication streams: (slot, position, data). Every transaction has a begin and a relation message, and after its ``last`` event a commit."""
+    relation = {
+        "msg_type": "R", "relation_id": 1, "namespace": "public", "name": "users", "replica_identity": "d",
+        "columns": [{"key": True, "name": "user_id", "type": 20, "modifier": 0}, {"key": False, "name": "value", "type": 701, "modifier": 0}],
+    }
 
-    def encode(frames):
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             data = []
-            for e, user, kind, value, last in zip(frame["event_id"], frame["user_id"], frame["event_type"], frame["text"], frame["last"]):
+            for event, user, kind, value, is_last in zip(*(frame[c] for c in ("event_id", "user_id", "event_type", "text", "last"))):
                 row = [{"type": "t", "value": str(user)}, {"type": "t", "value": value}]
                 change = {"msg_type": "D", "relation_id": 1, "old_kind": "O", "old_row": row} if kind == "error" else {"msg_type": "I" if kind == "signup" else "U", "relation_id": 1, "row": row}
-                e, xid, at = int(e), int(e) // 5, int(e) * 10
-                parts = [(at + 5, change)]
-                if e % 5 == 0:
-                    parts = [(at, {"msg_type": "B", "lsn": xid * 5 + 4, "timestamp_us": pgoutput.EPOCH + xid, "xid": xid}), (at + 1, {"msg_type": "R", "replica_identity": "d", **relation}), *parts]
-                if last:
-                    parts = [*parts, (at + 9, {"msg_type": "C", "lsn": e, "transaction_lsn": e, "timestamp_us": pgoutput.EPOCH + xid})]
-                data += [(xid % 8, p, pgoutput.encode_message(m)) for p, m in parts]
-            import pandas as pd
-
-            yield pd.DataFrame(data, columns=["slot", "position", "data"]).astype({"slot": str})
-
-    in_transaction = Window.partitionBy(F.floor(F.col("event_id") / 5))
-    rows = table(s, d, "events").select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("text"), (F.col("event_id") == F.max("event_id").over(in_transaction)).alias("last"))
-    messages = rows.mapInPandas(encode, "slot string, position bigint, data binary")
-    decoded = pgoutput.decode(messages, "data", ["slot", "position"]).select("slot", "position", "message")
-    found = changelog.entries(decoded).where("kind = 'modification'")
-    image = fn.after_or_before(F.col("before"), F.col("after"))
-    what = fn.operation(F.col("lsn"), F.col("before"), F.col("after"), F.col("message_type"))
-    return found.select(
+                event, xid = int(event), int(event) // 5
+                stamp = {"lsn": xid * 5 + 4, "timestamp_us": pgoutput.EPOCH + xid}
+                parts = [(5, change)]
+                if event % 5 == 0:
+                    parts = [(0, {"msg_type": "B", "xid": xid, **stamp}), (1, relation), *parts]
+                if is_last:
+                    parts.append((9, {"msg_type": "C", "transaction_lsn": xid * 5 + 4, **stamp}))
+                data += [(str(xid % 8), event * 10 + at, pgoutput.encode_message(m)) for at, m in parts]
+            yield pd.DataFrame(data, columns=["slot", "position", "data"])
+
+    rows = events.select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("text"), last.alias("last"))
+    return rows.mapInPandas(encode, "slot string, position bigint, data binary")
+
+
+def _event_rows(found: DataFrame, before: Column, after: Column) -> DataFrame:
+    image = fn.after_or_before(before, after)
+    what = fn.operation(F.col("lsn"), before, after, F.col("message_type"))
+    return found.where("kind = 'modification'").select(
         F.floor(F.col("position") / 10).cast("bigint").alias("event_id"), fn.table_reference(F.col("namespace"), F.col("name")).alias("ref"), what.alias("operation"), "lsn", "sequence",
         image["user_id"].cast("bigint").alias("user_id"), image["value"].cast("double").alias("value"),
     )
 
 
+def wal_entries(s: SparkSession, d: str) -> DataFrame:
+    """Events as bytes, decoded, put in sequence and resolved as a table."""
+    last = F.col("event_id") == F.max("event_id").over(Window.partitionBy(F.floor(F.col("event_id") / 5)))
+    decoded = pgoutput.decode(_recorded(table(s, d, "events"), last), "data", ["slot", "position"]).select("slot", "position", "message")
+    return _event_rows(changelog.entries(decoded), F.col("before"), F.col("after"))
+
+
+def streamed_entries(s: SparkSession, d: str) -> DataFrame:
+    """The same as a stream, with the open transaction and the relations of each slot as state."""
+    decoded = pgoutput.decode(_recorded(stream(s, d, "events"), F.col("event_id") % 5 == 4), "data", ["slot", "position"])
+    at = workspace(s, "streamed")
+    write_entries(changelog_stream(decoded.select("slot", "position", F.to_json("message").alias("message"))), at)
+    return _event_rows(s.read.parquet(f"{at}/entries"), image(F.col("before")), image(F.col("after")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         latest_view, latest_view_composite, latest_as_of, raw_changelog, operation_infer, sequence_messages, flush_fold, import_page, import_batches, tables_diff,
         tables_includes, catalog_join, pk_array_agg, table_status, job_backoff, job_acquire, schema_fingerprint, publication_filter, publication_reconcile, route_counts,
-        metrics_rate, metrics_histogram, metrics_heatmap, metrics_quantiles, toast_carry_forward, progress, txn_visible, lsn_text, wal_entries,
+        metrics_rate, metrics_histogram, metrics_heatmap, metrics_quantiles, toast_carry_forward, progress, txn_visible, lsn_text, wal_entries, streamed_entries,
     )
 }
 
@@ -319,3 +340,4 @@ SQL = {
         select event_id, 'public.users' as ref, case event_type when 'signup' then 'INSERT' when 'error' then 'DELETE' else 'UPDATE' end as operation,
             event_id // 5 * 5 + 4 as lsn, row_number() over (partition by event_id // 5 order by event_id) + 1 as sequence, user_id, value from events""",
 }
+SQL["streamed_entries"] = SQL["wal_entries"]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .settings import rocksdb
+
 ENTRY = (
     "slot string, position bigint, kind string, timestamp_us bigint, namespace string, name string, lsn bigint, sequence bigint, message_type string, "
     "spec string, before string, after string, unchanged string, last_in_transaction boolean"
@@ -88,3 +90,14 @@ class ChangelogProcessor(StatefulProcessor):
 def changelog_stream(messages: DataFrame) -> DataFrame:
     """A stream of (slot, position, message as JSON text) as changelog entries in columns of ENTRY."""
     return messages.groupBy("slot").transformWithStateInPandas(ChangelogProcessor(), outputStructType=ENTRY, outputMode="append", timeMode="None")
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Write all entries of a stream that are available now under ``path``, a folder for each micro-batch, which a repeated one replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/entries/batch={number}")
+
+    with rocksdb(entries.sparkSession):
+        query = entries.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
