@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.changelog import operation
+from ..functions.storage import stored
 from .row_events import TABLE
 from .segments import carried, segmented
 
@@ -77,13 +78,16 @@ def unchanged(columns: Column, cells: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(columns.alias("c"), cells.alias("v")), lambda x: x["v"]["type"] == "u"), lambda x: x["c"]["name"])
 
 
-def entries(messages: DataFrame) -> DataFrame:
+def entries(messages: DataFrame, path: str | None = None) -> DataFrame:
     """The changelog of decoded messages (slot, position, message): schema and modification entries, in columns of ENTRY.
 
+    Each step reads its input more than once; with ``path`` messages and sequenced messages are stored there in between.
+
     All entries of a transaction have its final lsn and commit time; ``sequence`` keeps their order. A row whose cells don't
     fit its relation has no image (quarantine these by ``malformed_rows``). Origin and type messages bring no entry.
     """
-    found = resolved(sequenced(messages)).where(F.col("message.msg_type").isin("R", "I", "U", "D"))
+    keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else (lambda df, name: df)
+    found = resolved(keep(sequenced(keep(messages, "messages")), "sequenced")).where(F.col("message.msg_type").isin("R", "I", "U", "D"))
     kind, columns = F.col("message.msg_type"), F.col("relation.columns")
     return found.select(
         "slot", "position",

@@ -231,7 +231,7 @@ def wal_entries(s: SparkSession, d: str) -> DataFrame:
     """Events as bytes, decoded, put in sequence and resolved as a table."""
     last = F.col("event_id") == F.max("event_id").over(Window.partitionBy(F.floor(F.col("event_id") / 5)))
     decoded = pgoutput.decode(_recorded(table(s, d, "events"), last), "data", ["slot", "position"]).select("slot", "position", "message")
-    return _event_rows(changelog.entries(decoded), F.col("before"), F.col("after"))
+    return _event_rows(changelog.entries(decoded, workspace(s, "entries")), F.col("before"), F.col("after"))
 
 
 def streamed_entries(s: SparkSession, d: str) -> DataFrame:
