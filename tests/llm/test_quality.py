@@ -106,6 +106,14 @@ def test_shapes_of_nothing_and_without_labels(spark, at):
     assert len(rows) == 80 and np.mean([r["shape"] == truth[r["doc_id"]] for r in rows]) > 0.9
 
 
+def test_a_shape_that_does_not_occur(spark, at):
+    docs, truth = corpus(random.Random(8), 200)
+    docs = [d for d in docs if truth[d[0]] != "table"]
+    labels = spark.createDataFrame([(i, "a", truth[i]) for i, _ in docs[:9]], "doc_id bigint, annotator string, shape string")
+    rows = shapes(spark.createDataFrame(docs, DOCS), spark.createDataFrame(COMMON, "lang string, word string"), labels, at).collect()
+    assert np.mean([r["shape"] == truth[r["doc_id"]] for r in rows]) > 0.97
+
+
 def test_common_words_are_bounded(spark):
     many = spark.range(100_001).selectExpr("'en' as lang", "cast(id as string) as word")
     with pytest.raises(ValueError, match="100,000"):

@@ -21,8 +21,10 @@ class Booster:
     start: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        binned = _binned(x, self.cuts)
         out = np.full(len(x), self.start)
+        if not self.features:
+            return out
+        binned = _binned(x, self.cuts)
         rows = np.arange(len(x))
         for feature, cut, leaf in zip(self.features, self.bins, self.leaves):
             node = np.zeros(len(x), int)
@@ -77,8 +79,8 @@ def _split(keys: np.ndarray, g: np.ndarray, h: np.ndarray, count: int, width: in
     return (best // width, best % width) if gain.ravel()[best] > 1e-9 else (0, width)
 
 
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """(a, b) so that 1 / (1 + exp(-(a * margin + b))) fits y: Newton's method with a pull to (1, 0)."""
+def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 5.0) -> tuple[float, float]:
+    """(a, b) so that 1 / (1 + exp(-(a * margin + b))) fits y: Newton's method with a pull to (1, 0), which few or wrong labels do not overcome."""
     w = np.array([1.0, 0.0])
     z = np.stack([margin, np.ones_like(margin)], axis=1)
     for _ in range(steps):
