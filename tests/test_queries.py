@@ -1,0 +1,50 @@
+import ast
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from tidemark.plans import capture_queries, control_queries
+
+from .duck import DATA, duck_rows, spark_rows
+
+MODULES = [capture_queries, control_queries]
+QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
+SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_and_sql_agree(spark, name):
+    assert spark_rows(QUERIES[name](spark, DATA)) == duck_rows(SQL[name])
+
+
+def test_queries_without_sql(spark):
+    assert set(QUERIES) - set(SQL) == {"p1_rows", "p2_kept", "p4_unified", "p5_versions"}
+    p1 = QUERIES["p1_rows"](spark, DATA)
+    assert p1.columns == ["namespace", "name", "row_key", "image"] and p1.where("image is null").isEmpty()
+    kept = QUERIES["p2_kept"](spark, DATA)
+    changes = spark.read.parquet(f"{DATA}/modifications.parquet").where("lsn is not null").select("namespace", "name", "lsn", "sequence").distinct()
+    assert kept.count() == changes.count() == kept.select(*changes.columns).distinct().count()
+    unified = QUERIES["p4_unified"](spark, DATA)
+    assert unified.count() == spark.read.parquet(f"{DATA}/modifications.parquet").count() and unified.where("attributes is null").isEmpty()
+    versions = QUERIES["p5_versions"](spark, DATA)
+    assert versions.count() == QUERIES["p5_found"](spark, DATA).count() and versions.where("attributes is null").isEmpty()
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nothing_outside_imports_the_text_operators():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for folder, _, names in os.walk(os.path.join(root, "tidemark")):
+        if os.path.basename(folder) == "llm":
+            continue
+        for name in names:
+            if name.endswith(".py"):
+                with open(os.path.join(folder, name)) as f:
+                    for node in ast.walk(ast.parse(f.read())):
+                        modules = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+                        assert not any("llm" in m.split(".") for m in modules), name
