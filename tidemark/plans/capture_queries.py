@@ -37,11 +37,13 @@ def p1_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHANGE = ["namespace", "name", "lsn", "sequence"]
+#: Bytes of files that a micro-batch takes, so that a backlog of any size is taken in steps.
+BATCH_BYTES = 64 << 30
 
 
 def _deduplicated(spark: SparkSession, d: str, payload: list[str]) -> Deduplicator:
     run = Deduplicator(spark, workspace(spark, "deduplicate"), CHANGE, "received_at", "delivery_id", "lsn", payload=payload)
-    run.run(stream(spark, d, "modifications").where("lsn is not null"))
+    run.run(stream(spark, d, "modifications", maxBytesPerTrigger=str(BATCH_BYTES)).where("lsn is not null"))
     return run
 
 

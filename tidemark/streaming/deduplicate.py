@@ -21,7 +21,8 @@ class Deduplicator:
     store (RocksDB), which lets the first of each identifier through and forgets it once the watermark, the largest
     ``event_time`` less ``delay``, has passed it. Two kinds of delivery escape the store: a repeat of a forgotten
     identifier, and a delivery whose own event time lies behind the watermark, which Spark drops. Both are looked up among
-    the copies kept by earlier batches, read only between the least and the greatest ``order`` of those looked up.
+    the copies kept by earlier batches. An identifier beyond the greatest ``order`` that earlier batches reached cannot be
+    among them; for the others only the part of the kept copies from the least of their ``order`` on is read (files are sorted by it).
 
     Each micro-batch is written under its own number and becomes visible by a commit file that also has the event time
     reached; a batch repeated after a failure overwrites its files and yields the same rows. The state is checkpointed by the
@@ -70,8 +71,9 @@ class Deduplicator:
         tagged.write.mode("overwrite").parquet(at)
         staged = spark.read.schema(tagged.schema).parquet(at)
         earlier = self._commits(number)
-        known = [self.fs.load(f"{self.path}/commits/{x:09d}.json")["event_us"] for x in earlier]
-        reached = max([x for x in known if x is not None], default=None)
+        known = [self.fs.load(f"{self.path}/commits/{x:09d}.json") for x in earlier]
+        reached = max([x["event_us"] for x in known if x["event_us"] is not None], default=None)
+        beyond = max([x["order"] for x in known if x["order"] is not None], default=None)
         passed = F.lit(0).cast("timestamp") if reached is None else F.timestamp_micros(F.lit(reached)) - F.expr(f"INTERVAL {self.delay}") + F.expr("INTERVAL 1 SECOND")
         copy = F.struct("let_through", *self.fields[len(self.keys) :])
         ids = staged.groupBy(*self.keys).agg(
@@ -82,23 +84,26 @@ class Deduplicator:
         )
         ids = ids.withColumn("looked_up", (F.col("let_through") == 1) | (F.col("_least") <= passed))
         if earlier:
-            ids = self._look_up(spark, ids, earlier, staged)
+            ids = self._look_up(spark, ids, earlier, staged, beyond)
         else:
             ids = ids.withColumn("known", F.lit(False))
         new = F.col("looked_up") & ~F.col("known")
         out = ids.select(*self.keys, *[F.col(f"_copy.{c}").alias(c) for c in self.fields[len(self.keys) :]], new.alias("is_new"), (~new | (F.col("n") > 1)).alias("is_repeat"))
-        out.write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
-        top = staged.agg(F.max(F.unix_micros(self.event_time))).first()[0]
+        out.sortWithinPartitions(self.order).write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
+        event, order = staged.agg(F.max(F.unix_micros(self.event_time)), F.max(self.order)).first()
         if not self.fs.exists(f"{self.path}/commits/{number:09d}.json"):
-            self.fs.create(f"{self.path}/commits/{number:09d}.json", {"batch": number, "event_us": top})
+            self.fs.create(f"{self.path}/commits/{number:09d}.json", {"batch": number, "event_us": event, "order": order})
         self.fs.delete(at)
 
-    def _look_up(self, spark: SparkSession, ids: DataFrame, earlier: list[int], staged: DataFrame) -> DataFrame:
+    def _look_up(self, spark: SparkSession, ids: DataFrame, earlier: list[int], staged: DataFrame, beyond: int | None) -> DataFrame:
         """ids with ``known``: whether an earlier batch kept a copy."""
-        low, high = staged.agg(F.min(self.order), F.max(self.order)).first()
+        order = F.col(self.order)
+        low = staged.agg(F.min(self.order)).first()[0]
         kept = self._kept(spark, earlier).select(*self.keys)
-        if low is not None:
-            kept = kept.where(F.col(self.order).isNull() | F.col(self.order).between(low, high))
+        if low is None or beyond is None or low > beyond:
+            kept = kept.where(order.isNull())
+        else:
+            kept = kept.where(order.isNull() | (order >= low))
         marked = ids.withColumn("known", F.lit(False)).unionByName(kept.withColumn("known", F.lit(True)), allowMissingColumns=True)
         return (
             marked.groupBy(*self.keys)
