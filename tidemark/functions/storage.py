@@ -11,8 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if its stored files are at most this large.
-BROADCAST_BYTES = 16 << 20
+#: A table is broadcast only if its stored files are at most this large and hold at most so many rows.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
 #: Copies made of the smaller side, and parts of each key of the larger, when it is larger than that.
 SALTS = 16
 
@@ -100,14 +100,14 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 def attach(left: DataFrame, right: DataFrame, path: str, on: list[str], spread: list[str], how: str = "left") -> DataFrame:
     """Join the large ``left`` with a lookup table whose keys ``on`` are unique.
 
-    ``right`` is first stored at ``path`` and its size read from the files. Up to BROADCAST_BYTES it is broadcast; a
+    ``right`` is first stored at ``path`` and its size read from the files. Up to BROADCAST_BYTES and BROADCAST_ROWS it is broadcast; a
     larger one is joined by key and salt, so that a key with a third of all rows of ``left`` is spread over SALTS tasks.
     ``spread`` names columns of ``left`` that differ between rows of one key. A column of ``left`` that has the name of one that
     ``right`` brings is replaced by it.
     """
     right = stored(right, path)
     left = left.drop(*[c for c in right.columns if c not in on], "_salt")
-    if Storage(left.sparkSession).size(path) <= BROADCAST_BYTES:
+    if Storage(left.sparkSession).size(path) <= BROADCAST_BYTES and right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -135,5 +135,10 @@ def batch_result(written: DataFrame) -> DataFrame:
     return written.agg(F.count("*").alias("count"), F.max("lsn").alias("lsn"))
 
 
+def last_lsn(written: DataFrame, at: str) -> DataFrame:
+    """The log position of the last row by ``at`` that has one; the highest of an ordered batch."""
+    return written.where("lsn is not null").agg(F.max_by("lsn", at).alias("lsn"))
+
+
 def route_counts(changelog: DataFrame) -> DataFrame:
     return changelog.groupBy(*TABLE).count()

@@ -76,6 +76,18 @@ def newest_jobs(jobs: DataFrame) -> DataFrame:
     return newest.select("subscription_id", *NAME, "job.*")
 
 
+def jobs_by_table(jobs: DataFrame) -> DataFrame:
+    """(schema, table_name, jobs): the imports of each table, newest first. Control data: a handful a table."""
+    job = F.struct("created_at", *[c for c in jobs.columns if c not in (*NAME, "created_at")])
+    return jobs.groupBy(*NAME).agg(F.sort_array(F.collect_list(job), asc=False).alias("jobs"))
+
+
+def search(tables: DataFrame, text: str, distance: int = 2) -> DataFrame:
+    """Tables whose name contains a text or is within so many edits of it."""
+    name = F.lower("table_name")
+    return tables.where(name.contains(text.lower()) | (F.levenshtein(name, F.lit(text.lower())) <= distance))
+
+
 def table_list(tables: DataFrame, published: DataFrame, jobs: DataFrame, subscription_id: str, schemas: list[str] | None = None) -> DataFrame:
     """Every table with its publication and import status, by schema and name.
 

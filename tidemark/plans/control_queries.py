@@ -17,7 +17,7 @@ from ..functions import changelog as fn
 from ..functions.images import image
 from ..functions.storage import workspace
 from ..operators import changelog, control, imports, metrics, numbering
-from ..sources import pgoutput
+from ..sources import catalog, pgoutput
 from ..streaming.changelog_stream import changelog_stream, write_entries
 from .tables import stream, table
 
@@ -94,6 +94,13 @@ def catalog_join(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "nation").join(chosen, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
+def key_index_join(s: SparkSession, d: str) -> DataFrame:
+    """Columns that an index names by their numbers, as a catalog keeps them: nations are columns, regions relations."""
+    attributes = table(s, d, "nation").select(F.col("n_regionkey").alias("attrelid"), (F.col("n_nationkey") + 1).alias("attnum"), F.col("n_name").alias("attname"), F.lit(25).alias("atttypid"), F.lit(0).alias("atttypmod"), F.lit(False).alias("attisdropped"))
+    indexes = attributes.where("attnum % 2 = 0").groupBy(F.col("attrelid").alias("indrelid")).agg(F.collect_list("attnum").alias("indkey"), F.lit(True).alias("indisprimary"))
+    return catalog.key_attributes(indexes, attributes)
+
+
 def pk_array_agg(s: SparkSession, d: str) -> DataFrame:
     return imports.key_lists(table(s, d, "nation"), ["n_regionkey"], "n_name")
 
@@ -246,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_view, latest_view_composite, latest_as_of, raw_changelog, operation_infer, sequence_messages, flush_fold, import_page, import_batches, tables_diff,
-        tables_includes, catalog_join, pk_array_agg, table_status, job_backoff, job_acquire, schema_fingerprint, publication_filter, publication_reconcile, route_counts,
+        tables_includes, catalog_join, key_index_join, pk_array_agg, table_status, job_backoff, job_acquire, schema_fingerprint, publication_filter, publication_reconcile, route_counts,
         metrics_rate, metrics_histogram, metrics_heatmap, metrics_quantiles, toast_carry_forward, progress, txn_visible, lsn_text, wal_entries, streamed_entries,
     )
 }
@@ -288,6 +295,7 @@ SQL = {
     "tables_diff": "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
     "tables_includes": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')",
     "catalog_join": "select r_name, n_name from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')",
+    "key_index_join": "select n_regionkey as relation_id, n_name as name from nation where n_nationkey % 2 = 1",
     "pk_array_agg": "select n_regionkey, array_to_string(list_sort(list(n_name)), ', ') as names, count(*) as n from nation group by 1",
     "table_status": """
         with j as (
