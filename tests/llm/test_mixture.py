@@ -37,7 +37,7 @@ def test_tree_gives_every_block_once_at_every_cut():
 
 def test_plan_reaches_quotas_exactly():
     rng = np.random.default_rng(2)
-    blocks = pd.DataFrame([(s, b, int(t)) for s, n in (("a", 50), ("b", 5), ("", 20)) for b, t in enumerate(rng.integers(1, 1000, n))], columns=["source", "block", "tokens"])
+    blocks = pd.DataFrame([(s, b, int(t)) for s, n in (("a", 50), ("b", 5), (None, 20)) for b, t in enumerate(rng.integers(1, 1000, n))], columns=["source", "block", "tokens"])
     targets = pd.DataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("none", 0.3, 9)], columns=["source", "target_share", "max_repeats"])
     plan, quotas = draw_plan(blocks, targets, 8, 1)
     size = plan.merge(blocks, on=["source", "block"])

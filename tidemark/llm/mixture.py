@@ -43,7 +43,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 
 def draw_plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Which blocks go where, from the blocks' (source, block, tokens) and the targets' (source, target_share, max_repeats).
+    """Which blocks go where, from the blocks' (source, block, tokens), the source null where it has no target, and the targets' (source, target_share, max_repeats).
 
     Each source's quota is its share of all tokens, at most max_repeats times what it has. Its blocks are taken in permuted
     order, pass after pass, until the quota is reached; of the last, only ``limit`` tokens. The tree then splits the counts of blocks
@@ -114,7 +114,7 @@ class Mixture:
         targets = mix_targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         self.targets = targets.toPandas().astype({"max_repeats": "Int64"})
         known = self.sizes.select("*", F.when(F.col("source").isin(self.targets["source"].tolist()), F.col("source")).alias("known"))
-        sums = known.groupBy(F.coalesce("known", F.lit("")).alias("source"), "block").agg(F.sum("tokens").alias("tokens")).toPandas()
+        sums = known.groupBy(F.col("known").alias("source"), "block").agg(F.sum("tokens").alias("tokens")).toPandas()
         self.total = int(sums["tokens"].sum())
         self.shards = shards or max(16, min(4096, self.total // SHARD_TOKENS))
         self.plan, self.quotas = draw_plan(sums, self.targets, self.shards, seed)
