@@ -13,6 +13,10 @@ from .row_events import ORDER, ROW
 STATE = "namespace string, name string, row_key string, ts bigint, is_change int, lsn bigint, sequence bigint, alive boolean, after string, bucket int"
 
 
+#: Ids of batches that a manifest remembers, so that a replay of one of the last is known.
+REMEMBERED = 1000
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version that this one was about to commit."""
 
@@ -22,7 +26,8 @@ class BucketedTable:
 
     ``apply`` folds a batch of row events to the last one of each key (combined before the shuffle, so a hot key sends one
     row per map task), routes them to buckets, merges only the buckets they touch with a sort-merge join, writes
-    replacement files for those, and commits a new manifest that keeps the other buckets' files. A manifest is created
+    replacement files for those, and commits a new manifest that keeps the other buckets' files. What is routed to a bucket without
+    files is its first file as it stands. A manifest is created
     whole or not at all and never replaced: readers see one version, a writer that lost a race gets Conflict, and files
     of a run that died before its commit are never read.
 
@@ -62,20 +67,21 @@ class BucketedTable:
         if batch_id is not None and batch_id in old["batches"]:
             return old["version"]
         count, tag = old["buckets"], uuid.uuid4().hex
-        routed_at, data_at = f"{self.path}/routed/{tag}", f"{self.path}/data/batch={tag}"
+        routed_at, merged_at = f"{self.path}/data/batch={tag}", f"{self.path}/data/batch={tag}-merged"
         last = F.max(F.struct(*ORDER, "alive", "after")).alias("last")
         self._write(events.groupBy(*ROW).agg(last).select(*ROW, "last.*").withColumn("bucket", self._bucket(count)), routed_at, count)
         touched = [int(x.partition("=")[2]) for x in self.fs.names(routed_at) if x.startswith("bucket=")]
-        if touched:
-            merged = self._merge([old["files"][str(b)] for b in touched if str(b) in old["files"]], routed_at)
-            self._write(merged, data_at, count)
-        files = {**old["files"], **{str(b): f"{data_at}/bucket={b}" for b in touched}}
-        new = {"version": old["version"] + 1, "buckets": count, "files": files, "batches": [*old["batches"], *([batch_id] if batch_id else [])]}
+        held = [b for b in touched if str(b) in old["files"]]
+        if held:
+            self._write(self._merge([old["files"][str(b)] for b in held], [f"{routed_at}/bucket={b}" for b in held]), merged_at, count)
+        files = {**old["files"], **{str(b): f"{merged_at if b in held else routed_at}/bucket={b}" for b in touched}}
+        new = {"version": old["version"] + 1, "buckets": count, "files": files, "batches": [*old["batches"], *([batch_id] if batch_id else [])][-REMEMBERED:]}
         if not touched and batch_id is None:
             return old["version"]
         if not self.fs.create(self._manifest(new["version"]), new):
             raise Conflict(f"version {new['version']} of {self.path} is taken")
-        self.fs.delete(routed_at)
+        for b in held:
+            self.fs.delete(f"{routed_at}/bucket={b}")
         return new["version"]
 
     @staticmethod
@@ -88,10 +94,8 @@ class BucketedTable:
             df = df.repartition(count, *ROW)
         df.write.partitionBy("bucket").parquet(path)
 
-    def _merge(self, base: list[str], routed_at: str) -> DataFrame:
-        new = self.spark.read.schema(STATE).parquet(routed_at)
-        if not base:
-            return new
+    def _merge(self, base: list[str], routed: list[str]) -> DataFrame:
+        new = self._read(routed)
         kept = [*ORDER, "alive", "after"]
         was = self._read(base).select(*ROW, "bucket", F.struct(*kept).alias("was"))
         now = new.select(F.col("namespace").alias("n1"), F.col("name").alias("n2"), F.col("row_key").alias("n3"), F.col("bucket").alias("b"), F.struct(*kept).alias("now"))
