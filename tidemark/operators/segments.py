@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def segmented(rows: DataFrame, group: list[str], at: str) -> tuple[DataFrame, bo
     large = counts.where(F.col("count") > many).select(*[F.col(c).alias(t) for c, t in zip(group, twins)], F.lit(True).alias("is_large"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(t)) for c, t in zip(group, twins)])
     marked = rows.join(F.broadcast(large), same, "left").drop(*twins)
-    shares = [i / MOST_SEGMENTS for i in range(1, MOST_SEGMENTS)]
+    shares = F.lit(np.arange(1, MOST_SEGMENTS) / MOST_SEGMENTS)
     found = marked.where("is_large").agg(F.count("*"), F.percentile_approx(at, shares)).first()
     if not found[0]:
         return marked.drop("is_large").withColumn("segment", F.lit(-1)), False
