@@ -7,6 +7,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for costly work on each row: dealt out evenly if its files make fewer partitions than there are cores.
+
+    Only a table of a few files is ever shuffled by this; a large one is read where it lies.
+    """
+    found = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
     """The same as a stream of its files."""
     # A pattern, as the source takes a folder or a pattern, and the table may be a single file.
