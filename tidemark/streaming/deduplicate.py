@@ -22,7 +22,7 @@ class Deduplicator:
     ``event_time`` less ``delay``, has passed it. Two kinds of delivery escape the store: a repeat of a forgotten
     identifier, and a delivery whose own event time lies behind the watermark, which Spark drops. Both are looked up among
     the copies kept by earlier batches. An identifier beyond the greatest ``order`` that earlier batches reached cannot be
-    among them; for the others only the part of the kept copies from the least of their ``order`` on is read (files are sorted by it).
+    among them (``order`` is a number); for the others only the part of the kept copies from the least of their ``order`` on is read (files are sorted by it).
 
     Each micro-batch is written under its own number and becomes visible by a commit file that also has the event time
     reached; a batch repeated after a failure overwrites its files and yields the same rows. The state is checkpointed by the
