@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -89,6 +91,8 @@ class ChangelogProcessor(StatefulProcessor):
 
 def changelog_stream(messages: DataFrame) -> DataFrame:
     """A stream of (slot, position, message as JSON text) as changelog entries in columns of ENTRY."""
+    # The processor's first worker starts on the driver, which has no packages sent to it.
+    register_pickle_by_value(sys.modules[__name__])
     return messages.groupBy("slot").transformWithStateInPandas(ChangelogProcessor(), outputStructType=ENTRY, outputMode="append", timeMode="None")
 
 
