@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.leaks import Limits, aligned, build_index, chained, find_leaks, hashes, leaks_of, squeezed
+from tidemark.llm.leaks import Limits, aligned, build_index, chained, find_leaks, hashes, leaks_of, seeds_of, squeezed
 
 WORDS = "carrier tenant pledge covenant harbour invoice survey receiver warehouse barley timber towpath easement registrar charter deposit schedule exhibit guarantee insurer".split()
 
@@ -125,3 +125,29 @@ def test_stock_phrases_do_not_count(spark, at, rng):
     stock, own = prose(rng, 45), prose(rng, 55)
     docs = [(i, f"{prose(rng, 60)} {stock} {prose(rng, 60)}") for i in range(70)] + [(100, f"{prose(rng, 60)} {own}")]
     assert found(spark, at, docs, [(1, f"{stock} {own}")]) == [(1, 100)]
+
+
+def test_equal_items_and_shared_passages(spark, at, rng):
+    item, shared, phrase = prose(rng, 100), prose(rng, 60), prose(rng, 12)
+    items = [(i, item) for i in range(5)] + [(i, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for i in range(10, 15)]
+    items += [(i, f"{prose(rng, 50)} {phrase} {prose(rng, 60)}") for i in range(20, 26)]
+    part = " ".join(items[-1][1].split()[35:85])
+    docs = [(1, f"{prose(rng, 60)} {item} {prose(rng, 60)}"), (2, f"{prose(rng, 60)} {shared} {prose(rng, 60)}"), (3, f"{prose(rng, 60)} {part} {prose(rng, 60)}")]
+    assert found(spark, at, docs, items) == sorted([*[(i, 1) for i in range(5)], *[(i, 2) for i in range(10, 15)], (25, 3)], key=str)
+
+
+def test_phrases_of_many_items_count_in_a_copy(rng):
+    phrases = [prose(rng, 9) for _ in range(6)]
+    texts = [" ".join(f"{prose(rng, 10)} {p}" for p in phrases) for _ in range(6)]
+    index, words = build_index(list(enumerate(texts)), Limits()), texts[0].split()
+    n = -(-2 * len(words) // 5)
+    for start in range(0, len(words) - n + 1, 3):
+        got = shares(index, f"{prose(rng, 80)} {' '.join(words[start : start + n])} {prose(rng, 80)}")
+        assert got.pop(0) >= index.limits.share and all(x < index.limits.share for x in got.values())
+
+
+def test_every_stretch_has_seeds(rng):
+    limits, shared = Limits(), np.array([rng.choice([1, 9, 9, 9, 9, 9]) for _ in range(300)] + [7] * 300)
+    seed, width = seeds_of(shared, limits), int(limits.share / 2 * 600)
+    assert seed[shared == 1].all() and min(seed[i : i + width].sum() for i in range(600 - width + 1)) >= limits.seeds
+    assert seeds_of(np.full(20, 9), limits).all() and len(seeds_of(np.zeros(0, int), limits)) == 0

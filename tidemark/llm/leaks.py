@@ -34,8 +34,10 @@ class Limits:
     edits: float = 0.06
     #: Share of edits that the alignment of a region may need, altered and blacked-out words included.
     aligned_edits: float = 0.3
-    #: A q-gram in more items than this is a stock phrase and begins no region.
+    #: A q-gram in at most this many items is a seed: an item is looked for in a text, then by all its q-grams, only if the text has enough of its seeds.
     items: int = 3
+    #: Least number of seeds in every stretch of an item half as long as its share; where too few q-grams are that rare, the rarest there are seeds too.
+    seeds: int = 32
     #: Share of an item's words that a document must repeat: two fifths, less a tenth of that for words cut at the edges of passages.
     share: float = 0.36
     #: Words of an item that lie in copied passages of more than this share of all documents, and of more than this many, are stock phrases.
@@ -73,7 +75,7 @@ def hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of all items: sorted hashes, where each stands, and a bit table asked first."""
+    """The q-grams of all items: sorted hashes, the seeds by hash, all places by item, and a bit table asked first."""
 
     ids: list[int]
     texts: list[bytes]
@@ -81,13 +83,20 @@ class Index:
     words: list[np.ndarray]
     limits: Limits
     sizes: list[int] = field(init=False)
+    #: Per item, how many seeds a text must have in all if none of its bands has twelve.
+    least: np.ndarray = field(init=False)
     keys: np.ndarray = field(init=False)
-    start: np.ndarray = field(init=False)
-    item: np.ndarray = field(init=False)
-    place: np.ndarray = field(init=False)
+    seed_start: np.ndarray = field(init=False)
+    seed_item: np.ndarray = field(init=False)
+    seed_place: np.ndarray = field(init=False)
+    #: Per item: its keys in order, where the places of each start, its places by key, and which of these are seeds.
+    own: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
+    #: Zero for each key, but for those of the item that ``places`` is looking up.
+    slot: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        self.least = np.minimum(24, [len(t) // 25 for t in self.texts])
         self.sizes = [int(w[-1]) + 1 if len(w) else 0 for w in self.words]
         each = [hashes(np.frombuffer(t, np.uint8), self.limits.q) for t in self.texts]
         h = np.concatenate([*each, np.zeros(0, np.uint64)])
@@ -98,15 +107,26 @@ class Index:
         first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         group = np.cumsum(first) - 1
         new_item = first | np.r_[True, item[1:] != item[:-1]] if len(h) else first
-        rare = np.bincount(group, new_item)[group] <= self.limits.items if len(h) else first
-        h, self.item, self.place = h[rare], item[rare], place[rare]
-        self.keys, self.start = np.unique(h, return_index=True)
-        self.start = np.r_[self.start, len(h)]
+        shared = np.bincount(group, new_item)[group].astype(int) if len(h) else group
+        seed = np.zeros(len(h), bool)
+        by_place = np.lexsort((place, item))
+        ends = np.cumsum([len(x) for x in each])[:-1]
+        for own in np.split(by_place, ends):
+            seed[own] = seeds_of(shared[own], self.limits)
+        self.keys, start = np.unique(h, return_index=True)
+        self.seed_item, self.seed_place = item[seed], place[seed]
+        self.seed_start = np.r_[0, np.cumsum(seed)][np.r_[start, len(h)]]
+        by_key = np.lexsort((place, group, item))
+        self.own = []
+        for own in np.split(by_key, ends):
+            keys, first = np.unique(group[own], return_index=True)
+            self.own.append((keys, np.append(first, len(own)), place[own], seed[own]))
+        self.slot = np.zeros(len(self.keys), np.int32)
         self.table = np.zeros(1 << 22, bool)
         self.table[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of every q-gram that both have."""
+    def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, number of the key) of every q-gram that an item has too."""
         codes, q, found = np.frombuffer(text, np.uint8), self.limits.q, []
         for at in range(0, max(1, len(codes) - q + 1), BLOCK):
             h = hashes(codes[at : at + BLOCK + q - 1], q)
@@ -116,9 +136,58 @@ class Index:
             sure[sure] = self.keys[where[sure]] == h[maybe][sure]
             found.append(np.stack([maybe[sure] + at, where[sure]]))
         at, key = np.concatenate(found, axis=1)
-        count = self.start[key + 1] - self.start[key]
-        spread = np.repeat(self.start[key] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        return np.repeat(at, count), self.item[spread], self.place[spread]
+        return at, key
+
+    def seeded(self, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The items to be looked for: those with twelve seeds in one of the overlapping diagonal bands, or eight there and a 25th of the item's length (up to 24) in all."""
+        spread, count = _ranges(self.seed_start[key], self.seed_start[key + 1])
+        item, diagonal = self.seed_item[spread].astype(np.int64), np.repeat(at, count) - self.seed_place[spread]
+        total = np.bincount(item, minlength=len(self.ids))
+        many = total[item] >= 8
+        item, diagonal, out = item[many], diagonal[many], np.zeros(len(self.ids), bool)
+        enough = total >= self.least
+        for shift in (0, self.limits.band // 2):
+            band = np.sort((item << 40) + (1 << 39) + (diagonal + shift) // self.limits.band)
+            for least in (8, 12):
+                full = band[least - 1 :]
+                there = full[full == band[: len(full)]] >> 40
+                out[there if least == 12 else there[enough[there]]] = True
+        return np.flatnonzero(out)
+
+    def places(self, at: np.ndarray, key: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, place in the item, whether that is a seed) of all hits of one item."""
+        own, start, place, seed = self.own[item]
+        self.slot[own] = np.arange(1, len(own) + 1)
+        slot = self.slot[key]
+        self.slot[own] = 0
+        has = np.flatnonzero(slot)
+        slot = slot[has]
+        spread, count = _ranges(start[slot - 1], start[slot])
+        return np.repeat(at[has], count), place[spread], seed[spread]
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the length of each."""
+    count = end - first
+    before = np.cumsum(count) - count
+    return np.repeat(first - before, count) + np.arange(count.sum()), count
+
+
+def seeds_of(shared: np.ndarray, limits: Limits) -> np.ndarray:
+    """Which places of an item are seeds, from the number of items that have the q-gram of each."""
+    seed = shared <= limits.items
+    width = min(len(seed), max(limits.seeds, int(limits.share / 2 * len(seed))))
+    least, at = min(limits.seeds, width), 0
+    while True:
+        sums = np.r_[0, np.cumsum(seed)]
+        poor = np.flatnonzero(sums[at + width :] - sums[at : len(sums) - width] < least)
+        if not width or not len(poor):
+            return seed
+        at += int(poor[0])
+        others = at + np.flatnonzero(~seed[at : at + width])
+        # The last of equally rare ones, for the sake of the stretches that follow.
+        order = np.lexsort((-others, shared[others]))
+        seed[others[order[: least - (width - len(others))]]] = True
 
 
 def build_index(items: list[tuple[int, str]], limits: Limits) -> Index:
@@ -131,24 +200,26 @@ def build_index(items: list[tuple[int, str]], limits: Limits) -> Index:
     return Index(ids, texts, words, limits)
 
 
-def regions(at: np.ndarray, item: np.ndarray, place: np.ndarray, limits: Limits) -> np.ndarray:
-    """Rows (item, place from, to, text from, to): stretches of overlapping diagonal bands with as many shared q-grams as the lemma asks for."""
+def regions(at: np.ndarray, place: np.ndarray, seed: np.ndarray, limits: Limits) -> np.ndarray:
+    """Rows (place from, to, text from, to): stretches of overlapping diagonal bands with a seed and as many shared q-grams as the lemma asks for, from the hits of an item."""
     out = []
     for shift in (0, limits.band // 2):
         band = (at - place + shift) // limits.band
-        order = np.lexsort((at, place, band, item))
-        a, i, p, b = at[order], item[order], place[order], band[order]
+        order = np.lexsort((at, place, band))
+        a, p, b = at[order], place[order], band[order]
         if not len(a):
             continue
-        cut = np.r_[True, (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > limits.gap)]
+        cut = np.ones(len(p), bool)
+        cut[1:] = (b[1:] != b[:-1]) | (p[1:] - p[:-1] > limits.gap)
         first = np.flatnonzero(cut)
-        last = np.r_[first[1:], len(a)] - 1
-        distinct = np.add.reduceat(np.r_[True, p[1:] != p[:-1]] | cut, first)
+        last = np.append(first[1:], len(a)) - 1
+        cut[1:] |= p[1:] != p[:-1]
+        distinct = np.add.reduceat(cut, first, dtype=np.int64)
         length = p[last] + limits.q - p[first]
-        enough = (length >= limits.length) & (distinct >= np.maximum(8, length - limits.q + 1 - limits.edits * length * limits.q))
+        enough = np.logical_or.reduceat(seed[order], first) & (length >= limits.length) & (distinct >= np.maximum(8, length - limits.q + 1 - limits.edits * length * limits.q))
         low, high = np.minimum.reduceat(a, first), np.maximum.reduceat(a, first) + limits.q
-        out.append(np.stack([i[first], p[first], p[last] + limits.q, low, high], axis=1)[enough])
-    return np.concatenate(out) if out else np.zeros((0, 5), int)
+        out.append(np.stack([p[first], p[last] + limits.q, low, high], axis=1)[enough])
+    return np.concatenate(out) if out else np.zeros((0, 4), int)
 
 
 def aligned(a: bytes, b: bytes, band: int, budget: int) -> bool:
@@ -203,13 +274,10 @@ def leaks_of(text: str, index: Index) -> list[tuple[int, list[int]]]:
     The alignment is left out where an item's regions cannot reach its share even if all are copies.
     """
     limits, whole = index.limits, squeezed(text)
-    at, item, place = index.hits(whole)
-    many = np.bincount(item, minlength=1)[item] >= 8
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i, *region in regions(at[many], item[many], place[many], limits).tolist():
-        found.setdefault(i, []).append(tuple(region))
+    at, key = index.hits(whole)
     out = []
-    for i, own in sorted(found.items()):
+    for i in index.seeded(at, key).tolist():
+        own = [tuple(x) for x in regions(*index.places(at, key, i), limits).tolist()]
         words = _words(index, i, own)
         if len(words) >= limits.share * index.sizes[i]:
             sure = [
