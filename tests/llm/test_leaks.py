@@ -151,3 +151,20 @@ def test_every_stretch_has_seeds(rng):
     seed, width = seeds_of(shared, limits), int(limits.share / 2 * 600)
     assert seed[shared == 1].all() and min(seed[i : i + width].sum() for i in range(600 - width + 1)) >= limits.seeds
     assert seeds_of(np.full(20, 9), limits).all() and len(seeds_of(np.zeros(0, int), limits)) == 0
+
+
+@pytest.mark.parametrize("by", ["docket", "copies"])
+def test_a_third_of_all_rows_is_one_context(spark, at, rng, by):
+    item = prose(rng, 100)
+    part, copy = " ".join(item.split()[20:65]), f"{prose(rng, 60)} {item} {prose(rng, 60)}"
+    quoting = [(i, f"{prose(rng, 60)} {part} {prose(rng, 60)}" if by == "docket" else copy.replace("harbour", "haven", i % 3), "17-1" if by == "docket" else None) for i in range(80)]
+    docs = [*quoting, (500, f"{prose(rng, 60)} {part} {prose(rng, 60)}", "9-1"), *((i, prose(rng, 150), None) for i in range(1000, 1160))]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, docket_no string")
+    rows = find_leaks(documents, spark.createDataFrame([(1, item)], "item_id bigint, text string"), at).collect()
+    assert sorted(r["doc_id"] for r in rows) == [*range(80), 500]
+
+
+def test_stock_is_a_share_at_every_size(spark, at, rng):
+    stock, own = prose(rng, 45), prose(rng, 55)
+    docs = [(i, f"{prose(rng, 60)} {stock} {prose(rng, 60)}") for i in range(40)] + [(i, prose(rng, 120)) for i in range(50, 100)] + [(100, f"{stock} {own}")]
+    assert found(spark, at, docs, [(1, f"{stock} {own}")]) == [(1, 100)]

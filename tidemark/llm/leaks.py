@@ -40,9 +40,9 @@ class Limits:
     seeds: int = 32
     #: Share of an item's words that a document must repeat: two fifths, less a tenth of that for words cut at the edges of passages.
     share: float = 0.36
-    #: Words of an item that lie in copied passages of more than this share of all documents, and of more than this many, are stock phrases.
+    #: Words of an item in copied passages of more than this share of all contexts, by three standard deviations of it, are stock phrases.
+    #: A context is a docket, or the texts without one that are nearly equal; counted by text alone, whatever the docket, it must be so too.
     stock: float = 0.2
-    stock_least: int = 50
 
 
 def squeezed(text: str) -> bytes:
@@ -300,24 +300,45 @@ def _words(index: Index, item: int, found: list[tuple[int, int, int, int]]) -> n
     return np.flatnonzero(2 * np.bincount(index.words[item], marks, len(size)) >= size)
 
 
-SCHEMA = "doc_id bigint, item_id bigint, words array<int>"
+def sketch(text: bytes, q: int) -> int:
+    """The least hash of a text's q-grams: of two texts it is equal with the likelihood of the share of q-grams that both have. 0 without q-grams."""
+    codes = np.frombuffer(text, np.uint8)
+    least = [hashes(codes[at : at + BLOCK + q - 1], q).min() for at in range(0, len(codes) - q + 1, BLOCK)]
+    return int(min(least)) >> 1 if least else 0
+
+
+def covers(words: list[int], size: int) -> bool:
+    """Whether words that follow each other are half of an item or more."""
+    runs = np.diff(np.flatnonzero(np.r_[True, np.diff(words) != 1, True])) if words else np.zeros(1, int)
+    return bool(2 * runs.max() >= size)
+
+
+SCHEMA = "doc_id bigint, item_id bigint, words array<int>, covers boolean, docket bigint, sketch bigint"
 
 
 def passages(documents: DataFrame, items: list[tuple[int, str]], limits: Limits) -> DataFrame:
-    """(doc_id, item_id, words) for each document and item with at least one copied passage; see leaks_of."""
+    """(doc_id, item_id, words, covers) for each document and item with at least one copied passage, and a row without an item for each document; see leaks_of.
+
+    Each row has its document's contexts: ``sketch``, and ``docket``, a hash of docket_no or else the sketch.
+    """
     index = documents.sparkSession.sparkContext.broadcast(build_index(items, limits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = dict(zip(index.value.ids, index.value.sizes))
         for batch in batches:
-            docs, found, words = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for item, numbers in leaks_of(text.as_py() or "", index.value):
-                    docs.append(doc)
-                    found.append(item)
-                    words.append(numbers)
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "item_id", "words"])
+            rows = []
+            for doc, docket, text in zip(batch.column("doc_id").to_pylist(), batch.column("docket").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""
+                least = sketch(squeezed(text), limits.q)
+                contexts = (least if docket is None else docket, least)
+                rows.append((doc, None, [], False, *contexts))
+                rows.extend((doc, item, words, covers(words, sizes[item]), *contexts) for item, words in leaks_of(text, index.value))
+            columns = list(zip(*rows)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "words", "covers", "docket", "sketch"])
 
-    return documents.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    number = F.trim(F.col("docket_no").cast("string")) if "docket_no" in documents.columns else F.lit(None).cast("string")
+    return documents.select("doc_id", F.when(number != "", F.xxhash64(number)).alias("docket"), "text").mapInArrow(scan, SCHEMA)
 
 
 def _turns(rows: DataFrame, most_letters: int) -> Iterator[list[tuple[int, str]]]:
@@ -338,7 +359,8 @@ def find_leaks(documents: DataFrame, bench_items: DataFrame, path: str, limits:
 
     Items of up to ``most_letters`` characters in all are indexed at a time and broadcast (some 25 bytes a character); more are
     taken in turns over the whole corpus. Documents are scanned where they lie, in whole and without a shuffle. What is found
-    is kept at ``path``, and from all of it the words of each item are dropped that many documents share (stock phrases).
+    is kept at ``path``, and from all of it the words of each item are dropped that many contexts share (stock phrases; dockets by
+    ``docket_no``, if documents have it). From a document that has half an item or more in one piece nothing is dropped.
     A null or empty text has no passages, an item without words is found nowhere, equal items are each found, and
     a document in the input twice is reported once.
     """
@@ -348,9 +370,16 @@ def find_leaks(documents: DataFrame, bench_items: DataFrame, path: str, limits:
     for turn, items in enumerate(_turns(rows, most_letters)):
         more = stored(passages(documents, items, limits), f"{path}/passages{turn}")
         found = more if found is None else found.unionByName(more)
-    words = found.select("item_id", "doc_id", F.explode("words").alias("word")).distinct()
-    many = documents.count() * limits.stock
-    stock = words.groupBy("item_id", "word").agg(F.count("*").alias("docs")).where(F.col("docs") > F.greatest(F.lit(many), F.lit(float(limits.stock_least)))).select("item_id", "word")
-    own = words.join(stock, ["item_id", "word"], "left_anti").groupBy("item_id", "doc_id").agg(F.count("*").alias("words"))
+    contexts = ["docket", "sketch"]
+    many = found.where("item_id is null").agg(*[F.count_distinct(c).alias(c) for c in contexts]).first()
+    words = found.where("item_id is not null").select("item_id", "doc_id", "covers", *contexts, F.explode("words").alias("word"))
+    stock = None
+    for c in contexts:
+        votes = words.select("item_id", "word", c).distinct().groupBy("item_id", "word").agg(F.count("*").alias("votes"))
+        most = many[c] * limits.stock + 3 * (many[c] * limits.stock * (1 - limits.stock)) ** 0.5
+        common = votes.where(F.col("votes") > most).select("item_id", "word")
+        stock = common if stock is None else stock.join(common, ["item_id", "word"])
+    kept = words.where("covers").select("item_id", "doc_id", "word").unionByName(words.where("not covers").select("item_id", "doc_id", "word").join(stock, ["item_id", "word"], "left_anti"))
+    own = kept.distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("words"))
     sizes = bench_items.select("item_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike("[\\p{L}\\p{N}]"))).alias("size")).dropDuplicates(["item_id"])
     return own.join(sizes, "item_id").withColumn("share", F.col("words") / F.col("size")).where(F.col("share") >= limits.share).select("item_id", "doc_id", "share")

@@ -13,7 +13,7 @@ from .quality import shapes
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat a held-out item, wholly or partly."""
-    return find_leaks(spread(spark, d, "documents", "doc_id", "text"), table(spark, d, "bench_items"), workspace(spark, "leaks")).select("item_id", "doc_id")
+    return find_leaks(spread(spark, d, "documents", "doc_id", "docket_no", "text"), table(spark, d, "bench_items"), workspace(spark, "leaks")).select("item_id", "doc_id")
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
