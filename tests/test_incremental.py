@@ -98,3 +98,13 @@ def test_plan_is_replayed_as_written_and_records_are_put_in_once(spark, at):
     second = again.plan(lambda: {"t": spark.createDataFrame([("change", None, "a", "1", 1), ("change", None, "a", "1", 2), ("row", "n", "a", "x", 0)], record)})
     again.execute(second, lambda p: p["t"])
     assert sorted((r["kind"], r["record_key"], r["offset"]) for r in again.records().collect()) == [("change", "1", 1), ("change", "1", 2), ("row", "x", 0)]
+
+
+def test_deliveries_without_file_or_subscription_are_untaken(spark, at):
+    mods = [
+        change(1, 1, 10, None, {"id": 1}, file_no=None), change(2, 1, 11, None, {"id": 1}, file_no=5, sub=None), change(3, 1, 12, None, {"id": 1}, file_no=None, sub=None),
+        change(4, 1, 13, None, {"id": 1}, file_no=1), change(5, 1, 13, None, {"id": 1}, file_no=None), change(6, 1, 14, None, {"id": 1}, file_no=0, sub=""),
+    ]
+    log = [run_row(1, "started", 1, 0, 9), run_row(1, "success", 2, 0, 9), run_row(2, "success", 2, 0, 9, "")]
+    _, got = taken(spark, at, mods, log, [])
+    assert got == {("change", "public", "dogs", f"{lsn}/1") for lsn in (10, 11, 12)}

@@ -126,9 +126,12 @@ def untaken_records(plan: dict[str, DataFrame], keyed: DataFrame, path: str) ->
 
     ``keyed``: modifications with key_column and key_type. The deliveries of a change are combined before the shuffle.
     """
-    pending = plan["offsets"].withColumn("pending", F.lit(True))
-    log = keyed.where("lsn is not null").select(PARTITION, OFFSET, *TABLE, "lsn", "sequence")
-    marked = attach(log, pending, f"{path}/pending", [PARTITION, OFFSET], ["lsn", "sequence"])
+    # A null partition or offset is a key of its own: it is in no taken range, so it is pending.
+    whole = [F.coalesce(F.col(PARTITION).cast("string"), F.lit("")).alias("partition"), F.coalesce(OFFSET, F.lit(0)).alias("at")]
+    nulls = F.concat(F.col(PARTITION).isNull().cast("string"), F.col(OFFSET).isNull().cast("string")).alias("nulls")
+    pending = plan["offsets"].select(*whole, nulls, F.lit(True).alias("pending"))
+    log = keyed.where("lsn is not null").select(*whole, nulls, *TABLE, "lsn", "sequence")
+    marked = attach(log, pending, f"{path}/pending", ["partition", "at", "nulls"], ["lsn", "sequence"])
     changes = marked.groupBy(*TABLE, "lsn", F.coalesce("sequence", F.lit(0)).alias("sequence")).agg(F.max(F.col("pending").isNull()).alias("taken")).where("not taken")
     change = changes.select(F.lit("change").alias("kind"), *TABLE, F.concat_ws("/", "lsn", "sequence").alias("record_key"), F.col("lsn").alias("offset"))
     imported = attach(keyed.where("lsn is null"), plan["imports"], f"{path}/imports", TABLE, ["timestamp", "after"], "inner")
