@@ -108,3 +108,15 @@ def test_deliveries_without_file_or_subscription_are_untaken(spark, at):
     log = [run_row(1, "started", 1, 0, 9), run_row(1, "success", 2, 0, 9), run_row(2, "success", 2, 0, 9, "")]
     _, got = taken(spark, at, mods, log, [])
     assert got == {("change", "public", "dogs", f"{lsn}/1") for lsn in (10, 11, 12)}
+
+
+def test_a_newer_import_job_takes_its_rows_again(spark, at):
+    mods = spark.createDataFrame([change(1, 1, None, None, {"id": 1}), change(2, 1, None, None, {"id": 2})], MODIFICATIONS)
+    keyed, run = with_keys(mods, spark.createDataFrame([DOGS], SCHEMAS), f"{at}/keys"), IncrementalRun(spark, f"{at}/run")
+    none, counts = spark.createDataFrame([], RUNS), []
+    for jobs in ([job(1, "1")], [job(1, "1")], [job(1, "1", completed=1), job(2, None, created=2)]):
+        table = spark.createDataFrame(jobs, JOBS)
+        number = run.plan(lambda: {"offsets": pending_offsets(mods, none), "imports": open_imports(table, numbered=True), "jobs": changed_jobs(table, none)})
+        run.execute(number, lambda plan: untaken_records(plan, keyed, f"{at}/{number}"))
+        counts.append(sorted((r["record_key"], r["offset"]) for r in run.records().where("kind = 'row'").collect()))
+    assert counts == [[("2", 1)], [("2", 1)], [("1", 2), ("2", 1), ("2", 2)]]

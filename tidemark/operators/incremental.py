@@ -91,11 +91,11 @@ class IncrementalRun:
         return self.spark.read.parquet(*[f"{self.path}/sink/batch={x}" for x in self._numbers("commits")]).select(*RECORD, "offset")
 
 
-def open_imports(import_jobs: DataFrame) -> DataFrame:
-    """(namespace, name, cursor): the newest job of each table (by created_at, then id) where it is neither completed nor expired."""
-    newest = F.max_by(F.struct("cursor", "completed_at", "expired_at"), F.struct("created_at", "id")).alias("job")
+def open_imports(import_jobs: DataFrame, numbered: bool = False) -> DataFrame:
+    """(namespace, name, cursor): the newest job of each table (by created_at, then id) where it is neither completed nor expired. ``numbered``: with its id as ``job``."""
+    newest = F.max_by(F.struct("id", "cursor", "completed_at", "expired_at"), F.struct("created_at", "id")).alias("job")
     jobs = import_jobs.groupBy(F.col("schema").alias("namespace"), F.col("table_name").alias("name")).agg(newest)
-    return jobs.where("job.completed_at is null and job.expired_at is null").select(*TABLE, "job.cursor")
+    return jobs.where("job.completed_at is null and job.expired_at is null").select(*TABLE, "job.cursor", *[F.col("job.id").alias("job")] * numbered)
 
 
 def beyond(key: Column, cursor: Column, kind: Column) -> Column:
@@ -124,6 +124,8 @@ def changed_jobs(import_jobs: DataFrame, sink_runs: DataFrame) -> DataFrame:
 def untaken_records(plan: dict[str, DataFrame], keyed: DataFrame, path: str) -> DataFrame:
     """What a batch takes, as RECORD and offset: changes none of whose deliveries was taken, rows beyond open imports' cursors, changed jobs.
 
+    The offset of a row is its import job, so a newer job takes a row again (0 if the plan does not number the jobs).
+
     ``keyed``: modifications with key_column and key_type. The deliveries of a change are combined before the shuffle.
     """
     # A null partition or offset is a key of its own: it is in no taken range, so it is pending.
@@ -134,8 +136,9 @@ def untaken_records(plan: dict[str, DataFrame], keyed: DataFrame, path: str) ->
     marked = attach(log, pending, f"{path}/pending", ["partition", "at", "nulls"], ["lsn", "sequence"])
     changes = marked.groupBy(*TABLE, "lsn", F.coalesce("sequence", F.lit(0)).alias("sequence")).agg(F.max(F.col("pending").isNull()).alias("taken")).where("not taken")
     change = changes.select(F.lit("change").alias("kind"), *TABLE, F.concat_ws("/", "lsn", "sequence").alias("record_key"), F.col("lsn").alias("offset"))
-    imported = attach(keyed.where("lsn is null"), plan["imports"], f"{path}/imports", TABLE, ["timestamp", "after"], "inner")
-    events = row_events(imported, payload=False, extra=["cursor", "key_type"]).where("alive").where(beyond(F.col("row_key"), F.col("cursor"), F.col("key_type")))
-    row = events.select(F.lit("row").alias("kind"), *TABLE, F.col("row_key").alias("record_key"), F.lit(0).cast("bigint").alias("offset")).distinct()
+    imports = plan["imports"] if "job" in plan["imports"].columns else plan["imports"].withColumn("job", F.lit(0))
+    imported = attach(keyed.where("lsn is null"), imports, f"{path}/imports", TABLE, ["timestamp", "after"], "inner")
+    events = row_events(imported, payload=False, extra=["cursor", "key_type", "job"]).where("alive").where(beyond(F.col("row_key"), F.col("cursor"), F.col("key_type")))
+    row = events.select(F.lit("row").alias("kind"), *TABLE, F.col("row_key").alias("record_key"), F.coalesce("job", F.lit(0)).cast("bigint").alias("offset")).distinct()
     job = plan["jobs"].select(F.lit("job").alias("kind"), F.col("schema").alias("namespace"), F.col("table_name").alias("name"), F.col("id").cast("string").alias("record_key"), F.unix_micros("updated_at").alias("offset"))
     return change.unionByName(row).unionByName(job)

@@ -62,7 +62,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     at = workspace(spark, "incremental")
     mods, runs, jobs = (table(spark, d, x) for x in ("modifications", "sink_runs", "import_jobs"))
     run = IncrementalRun(spark, f"{at}/run")
-    number = run.plan(lambda: {"offsets": pending_offsets(mods, runs), "imports": open_imports(jobs), "jobs": changed_jobs(jobs, runs)})
+    number = run.plan(lambda: {"offsets": pending_offsets(mods, runs), "imports": open_imports(jobs, numbered=True), "jobs": changed_jobs(jobs, runs)})
     columns = ["subscription_id", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after"]
     keyed = with_keys(mods.select(*columns), table(spark, d, "schema_entries"), f"{at}/keys")
     run.execute(number, lambda plan: untaken_records(plan, keyed, at))
