@@ -13,12 +13,12 @@ from ..operators.incremental import RECORD, IncrementalRun, changed_jobs, open_i
 from ..operators.row_events import row_events, with_keys
 from ..operators.schema_registry import SchemaRegistry
 from ..streaming.deduplicate import Deduplicator
-from .tables import spread, stream, table
+from .tables import dealt, stream, table
 
 
 def _present(spark: SparkSession, d: str) -> DataFrame:
     at = workspace(spark, "present")
-    mods = spread(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
+    mods = dealt(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
     keyed = with_keys(mods, table(spark, d, "schema_entries"), f"{at}/keys")
     state = BucketedTable(spark, f"{at}/table")
     state.apply(row_events(keyed.where("lsn is null")), "imports")
@@ -78,14 +78,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     """All modifications with their row images in the final schema of their table."""
     registry = SchemaRegistry(table(spark, d, "schema_entries"), workspace(spark, "schemas"))
-    mods = spread(spark, d, "modifications", "delivery_id", "namespace", "name", "lsn", "timestamp", "before", "after")
+    mods = dealt(spark, d, "modifications", "delivery_id", "namespace", "name", "lsn", "timestamp", "before", "after")
     unified = registry.unify(mods, ["delivery_id"])
     return unified.select("delivery_id", "namespace", "name", "lsn", entries_json(F.col("attributes")).alias("attributes"), F.array_join("misfits", ",").alias("misfits"))
 
 
 def _history(spark: SparkSession, d: str) -> HistoryStore:
     at = workspace(spark, "history")
-    mods = spread(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
+    mods = dealt(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
     store = HistoryStore(spark, f"{at}/store")
     store.build(row_events(with_keys(mods, table(spark, d, "schema_entries"), f"{at}/keys")))
     return store

@@ -7,14 +7,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for costly work on each row: dealt out evenly if its files make fewer partitions than there are cores.
+#: Setting: partitions into which ``dealt`` shuffles tables. Unset, which it is unless someone sets it, nothing is shuffled.
+DEAL = "tidemark.deal"
 
-    Only a table of a few files is ever shuffled by this; a large one is read where it lies.
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for costly work on each row, read where they lie, whatever their size.
+
+    Files of one row group make one task each. Where all data are a few such files, as in a bench, the setting DEAL deals their rows out.
     """
     found = table(spark, sf_dir, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+    parts = spark.conf.get(DEAL, None)
+    return found.repartition(int(parts)) if parts else found
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
