@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.storage import workspace
-from ..plans.tables import spread, table
+from ..plans.tables import dealt, table
 from .leaks import find_leaks
 from .mixture import Mixture
 from .quality import shapes
@@ -13,11 +13,11 @@ from .quality import shapes
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat a held-out item, wholly or partly."""
-    return find_leaks(spread(spark, d, "documents", "doc_id", "docket_no", "text"), table(spark, d, "bench_items"), workspace(spark, "leaks")).select("item_id", "doc_id")
+    return find_leaks(dealt(spark, d, "documents", "doc_id", "docket_no", "text"), table(spark, d, "bench_items"), workspace(spark, "leaks")).select("item_id", "doc_id")
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
-    return Mixture(spread(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), workspace(spark, "mixture"))
+    return Mixture(dealt(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"), workspace(spark, "mixture"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shapes(spark: SparkSession, d: str) -> DataFrame:
-    return shapes(spread(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words"), table(spark, d, "doc_labels"), workspace(spark, "quality"))
+    return shapes(dealt(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words"), table(spark, d, "doc_labels"), workspace(spark, "quality"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
