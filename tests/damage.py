@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 
 TABLES = ["modifications", "schema_entries", "import_jobs", "sink_runs", "documents", "doc_labels", "bench_items", "mix_targets", "common_words"]
 OWN = """
-row_key ts is_change alive after_key before_key row both key_column key_type bucket batch last was now n1 n2 n3 b segment is_large is_carried _carried state chain pos kind until
+row_key ts is_change alive after_key before_key row both key_columns key_type bucket batch last was now n1 n2 n3 b segment is_large is_carried _carried state chain pos kind until
 set unset valid_from valid_to attributes misfits rules placed print columns columns_before lsn_text pending taken low high bin first offset record_key namespace_ n known copies
 let_through looked_up is_new is_repeat _least _copy _at is_late words share size docs item tokens block pass shard place limit upto available quota shape h count probability n_ _salt
 """.split()

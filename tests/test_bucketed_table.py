@@ -87,9 +87,9 @@ def found_of(spark, rows, at):
 
 def test_extra_columns_that_clash(spark, at):
     mods = spark.createDataFrame([change(1, 1, 10, None, {"id": 1})], MODIFICATIONS)
-    for c in ("key_column", "row_key", "ts", "alive", "bucket", "is_change"):
+    for c in ("key_columns", "row_key", "ts", "alive", "bucket", "is_change"):
         mods = mods.selectExpr("*", f"'x' as {c}")
-    entries = spark.createDataFrame([DOGS], SCHEMAS).selectExpr("*", "'x' as key_column")
+    entries = spark.createDataFrame([DOGS], SCHEMAS).selectExpr("*", "'x' as key_columns")
     table = BucketedTable(spark, f"{at}/t")
     table.apply(row_events(with_keys(mods, entries, f"{at}/k")))
     assert found(table) == {("public", "dogs", "1", 10, 1)}

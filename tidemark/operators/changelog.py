@@ -130,9 +130,14 @@ def latest(rows: DataFrame, key: list[str], order: list[str], kept: Column | Non
     return first if kept is None else first.where(kept)
 
 
-def batch_result(written: DataFrame) -> DataFrame:
-    """Count and highest lsn of what was written: per partition first, then of all."""
-    return written.agg(F.count("*").alias("count"), F.max("lsn").alias("lsn"))
+def batch_result(written: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Count and highest lsn of what was written (of each batch, if there are columns that tell them apart): per partition first, then of all."""
+    return written.groupBy(*(by or [])).agg(F.count("*").alias("count"), F.max("lsn").alias("lsn"))
+
+
+def confirmed(changelog: DataFrame) -> DataFrame:
+    """The highest position that may be confirmed: that of the last ``ack`` entry, which follows a whole transaction. Null without one."""
+    return changelog.where("kind = 'ack'").agg(F.max("lsn").alias("lsn"))
 
 
 def last_lsn(written: DataFrame, at: str) -> DataFrame:

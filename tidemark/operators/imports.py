@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
@@ -136,13 +136,13 @@ def create_jobs(jobs: DataFrame, tables: DataFrame, subscription_id: str, now: d
     return jobs.unionByName(jobs_frame(jobs.sparkSession, new))
 
 
-def runnable(jobs: DataFrame, subscription_id: str, now: datetime) -> DataFrame:
+def runnable(jobs: DataFrame, subscription_id: str, now: datetime | Column) -> DataFrame:
     """Jobs of a subscription that are open and not waiting after a failure, healthy ones first, then by id."""
     open_ = (F.col("subscription_id") == subscription_id) & F.col("completed_at").isNull() & F.col("expired_at").isNull()
     return jobs.where(open_ & may_run(F.col("error_count"), F.col("last_error_at"), F.lit(now))).orderBy(F.col("error").isNull().desc(), "id")
 
 
-def acquire(jobs: DataFrame, subscription_id: str, now: datetime, taken: set[int] | None = None) -> Row | None:
+def acquire(jobs: DataFrame, subscription_id: str, now: datetime | Column, taken: set[int] | None = None) -> Row | None:
     """The next job to work on, other than those ``taken`` by other workers."""
     free = runnable(jobs, subscription_id, now)
     return (free.where(~F.col("id").isin(sorted(taken))) if taken else free).first()
@@ -208,6 +208,3 @@ class ImportWorker:
             runs += 1
         return runs
 
-
-def shorter(options: ImportOptions, limit: int) -> ImportOptions:
-    return replace(options, batch_limit=limit)

@@ -126,7 +126,7 @@ def untaken_records(plan: dict[str, DataFrame], keyed: DataFrame, path: str) ->
 
     The offset of a row is its import job, so a newer job takes a row again (0 if the plan does not number the jobs).
 
-    ``keyed``: modifications with key_column and key_type. The deliveries of a change are combined before the shuffle.
+    ``keyed``: modifications with key_columns and key_type. The deliveries of a change are combined before the shuffle.
     """
     # A null partition or offset is a key of its own: it is in no taken range, so it is pending.
     whole = [F.coalesce(F.col(PARTITION).cast("string"), F.lit("")).alias("partition"), F.coalesce(OFFSET, F.lit(0)).alias("at")]

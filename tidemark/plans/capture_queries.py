@@ -10,7 +10,7 @@ from ..functions.storage import workspace
 from ..operators.bucketed_table import BucketedTable
 from ..operators.history import HistoryStore
 from ..operators.incremental import RECORD, IncrementalRun, changed_jobs, open_imports, pending_offsets, untaken_records
-from ..operators.row_events import row_events, with_keys
+from ..operators.row_events import left_out, row_events, with_keys
 from ..operators.schema_registry import SchemaRegistry
 from ..streaming.deduplicate import Deduplicator
 from .tables import dealt, stream, table
@@ -36,6 +36,12 @@ def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     return _present(spark, d).select("namespace", "name", "row_key", F.col("after").alias("image"))
 
 
+def p1_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries that name no row, by table and reason."""
+    mods = dealt(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
+    return left_out(with_keys(mods, table(spark, d, "schema_entries"), f"{workspace(spark, 'left-out')}/keys"))
+
+
 CHANGE = ["namespace", "name", "lsn", "sequence"]
 #: Bytes of files that a micro-batch takes, so that a backlog of any size is taken in steps.
 BATCH_BYTES = 64 << 30
@@ -104,6 +110,7 @@ def p5_versions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rows": p1_rows,
+    "p1_left_out": p1_left_out,
     "p2_found": p2_found,
     "p2_kept": p2_kept,
     "p3_found": p3_found,
@@ -132,6 +139,15 @@ SQL: dict[str, str] = {
         select namespace, name, row_key, lsn, sequence from (
             select *, row_number() over (partition by namespace, name, row_key order by ts desc, ch desc, lsn desc, sequence desc) as rn from e)
         where rn = 1 and alive""",
+    "p1_left_out": f"""
+        with {_KEYS},
+        m as (
+            select m.namespace, m.name, kc, json_type(after) as a_type, json_type(before) as b_type, json_extract_string(before, '$."' || kc || '"') as bk, json_extract_string(after, '$."' || kc || '"') as ak
+            from modifications m left join k using (namespace, name)),
+        w as (
+            select namespace, name, case when kc is null then 'no key column' when a_type is distinct from 'OBJECT' and b_type is distinct from 'OBJECT' then 'no image'
+                when ak is null and bk is null then 'no key value' end as reason from m)
+        select namespace, name, reason, count(*) as deliveries from w where reason is not null group by all""",
     "p2_found": """
         select namespace, name, lsn, sequence from modifications where lsn is not null
         group by namespace, name, lsn, sequence having count(*) > 1""",

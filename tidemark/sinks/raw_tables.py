@@ -14,7 +14,7 @@ from ..functions.changelog import operation
 from ..functions.images import OID_NAMES
 from ..functions.pgtypes import TYPES, decode
 from ..functions.storage import Storage
-from ..operators.changelog import latest
+from ..operators.changelog import confirmed, latest
 
 NAMES = {name: oid for oid, (name, _) in TYPES.items()} | {v: k for k, v in OID_NAMES.items()}
 
@@ -41,13 +41,18 @@ class TableSchema:
 
     @property
     def reference(self) -> str:
-        return f"{self.namespace}.{self.name}"
+        return ".".join(x.replace("%", "%25").replace(".", "%2E") for x in (self.namespace, self.name))
 
     def payload(self, image: Column) -> Column:
         """The typed payload of an image of texts, its fields by name."""
         return F.struct(*[decode(F.try_element_at(image, F.lit(name)), oid).alias(name) for name, oid, _ in sorted(self.columns)])
 
 
+def reference() -> Column:
+    """The same of the columns namespace and name. Dots within either are escaped, so two tables never share one."""
+    return F.concat_ws(".", *[F.replace(F.replace(F.col(c), F.lit("%"), F.lit("%25")), F.lit("."), F.lit("%2E")) for c in ("namespace", "name")])
+
+
 @dataclass
 class RawTables:
     """Appends modifications to raw tables under ``path``, registers and widens them by schema, and serves their latest rows.
@@ -109,11 +114,12 @@ class RawTables:
         return latest(keyed, key, ["timestamp", "lsn", "sequence"], F.col("operation") != "DELETE").select("payload.*")
 
     def create_views(self) -> list[str]:
-        """Temporary views of the latest rows, named namespace_table."""
+        """Temporary views of the latest rows, named namespace_table; where that would name two tables, with the length of the namespace after it, which tells them apart."""
+        plain = {ref: f"{s[-1].namespace}_{s[-1].name}" for ref, s in self.schemas.items()}
         names = []
-        for ref in sorted(self.schemas):
-            name = ref.replace(".", "_")
-            self.latest(ref).createOrReplaceTempView(name)
+        for ref in sorted(plain):
+            name = plain[ref] if list(plain.values()).count(plain[ref]) == 1 else f"{plain[ref]}_{len(self.schemas[ref][-1].namespace)}"
+            self.latest(ref).createOrReplaceTempView(f"`{name}`")
             names.append(name)
         return names
 
@@ -122,8 +128,9 @@ class RawTables:
 class BatchSink:
     """The function for ``foreachBatch`` that routes a changelog's entries to tables.
 
-    Within a micro-batch a table's modifications before and after each of its schema entries are written under the schema
-    that held for them. ``ack`` is told the highest position of a whole transaction once all of the batch is written.
+    A micro-batch is written once, by table, and each table then reads its own part. Within it a table's modifications before and after each
+    of its schema entries are written under the schema that held for them. ``ack`` is told the highest position of a whole
+    transaction once all of the batch is written.
     """
 
     tables: RawTables
@@ -132,29 +139,30 @@ class BatchSink:
     def __call__(self, entries: DataFrame, batch: int) -> None:
         spark = entries.sparkSession
         at = f"{self.tables.path}/incoming/batch={batch}"
-        entries.write.mode("overwrite").parquet(at)
-        rows = spark.read.schema(entries.schema).parquet(at)
+        entries.withColumn("_ref", reference()).write.mode("overwrite").partitionBy("kind", "_ref").parquet(at)
+        rows = spark.read.schema(T.StructType([*entries.schema.fields, T.StructField("_ref", T.StringType())])).parquet(at)
         # Tables and schema entries of one micro-batch: control data, bounded by the batch's size option.
-        marks: dict[str, list[tuple[int, str]]] = {}
+        marks: dict[str, list[TableSchema]] = {}
         for r in rows.where("kind = 'schema'").orderBy("position").select("namespace", "name", "position", "spec").toLocalIterator():
-            marks.setdefault(f"{r['namespace']}.{r['name']}", []).append((r["position"], r["spec"]))
-        refs = [r[0] for r in rows.where("kind = 'modification'").select(F.concat_ws(".", "namespace", "name")).distinct().toLocalIterator()]
+            schema = TableSchema.of(r["namespace"], r["name"], r["spec"], r["position"])
+            marks.setdefault(schema.reference, []).append(schema)
+        refs = {r[0] for r in rows.where("kind = 'modification'").select("_ref").distinct().toLocalIterator()}
         for ref in sorted({*refs, *marks}):
-            own = rows.where((F.concat_ws(".", "namespace", "name") == ref) & (F.col("kind") == "modification"))
+            own = rows.where((F.col("kind") == "modification") & (F.col("_ref") == ref)).drop("_ref")
             low = None
-            for part, (position, spec) in enumerate([*marks.get(ref, []), (None, None)]):
+            for part, schema in enumerate([*marks.get(ref, []), None]):
                 span = own if low is None else own.where(F.col("position") > low)
+                position = schema.since if schema else None
                 span = span if position is None else span.where(F.col("position") < position)
-                if not span.isEmpty():
+                if ref in refs and (ref not in marks or not span.isEmpty()):
                     if not any(position is None or s.since < position for s in self.tables.schemas.get(ref, [])):
                         raise ValueError(f"modifications of {ref} came before any schema of it")
                     self.tables.append(ref, span, batch, part, position)
-                if position is not None:
-                    namespace, _, name = ref.partition(".")
-                    self.tables.register(TableSchema.of(namespace, name, spec, position))
+                if schema is not None:
+                    self.tables.register(schema)
                     low = position
         if self.ack:
-            top = rows.where("kind = 'ack'").agg(F.max("lsn")).first()[0]
+            top = confirmed(rows).first()[0]
             if top is not None:
                 self.ack(top)
         self.tables.fs.delete(at)
