@@ -93,7 +93,7 @@ def _history(spark: SparkSession, d: str) -> HistoryStore:
     at = workspace(spark, "history")
     mods = dealt(spark, d, "modifications", "file_no", "timestamp", "namespace", "name", "lsn", "sequence", "before", "after")
     store = HistoryStore(spark, f"{at}/store")
-    store.build(row_events(with_keys(mods, table(spark, d, "schema_entries"), f"{at}/keys")))
+    store.apply(row_events(with_keys(mods, table(spark, d, "schema_entries"), f"{at}/keys")))
     return store
 
 
