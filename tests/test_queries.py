@@ -2,6 +2,7 @@ import ast
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.plans import capture_queries, control_queries
@@ -20,7 +21,7 @@ def test_query_and_sql_agree(spark, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(QUERIES) - set(SQL) == {"p1_rows", "p2_kept", "p4_unified", "p5_versions"}
+    assert set(QUERIES) - set(SQL) == {"p4_unified"}
     p1 = QUERIES["p1_rows"](spark, DATA)
     assert p1.columns == ["namespace", "name", "row_key", "image"] and p1.where("image is null").isEmpty()
     kept = QUERIES["p2_kept"](spark, DATA)
@@ -32,6 +33,19 @@ def test_queries_without_sql(spark):
     assert versions.count() == QUERIES["p5_found"](spark, DATA).count() and versions.where("attributes is null").isEmpty()
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_store_and_lookup_decide_at_every_scale(spark, scale, monkeypatch):
+    """The feed is several batches, the store forgets, and the lookup finds what it has forgotten; without either the rows are others."""
+    folder = f"/root/testdata/{scale}"
+    run = capture_queries._deduplicated(spark, folder, [])
+    commits = [run.fs.load(f"{run.path}/commits/{n:09d}.json") for n in run._commits()]
+    assert len(commits) >= 4 and run.forgotten > 0 and sum(c["found_by_lookup"] for c in commits) > 0
+    want = spark_rows(run.repeats())
+    assert want == duck_rows(SQL["p2_found"], folder)
+    monkeypatch.setattr(capture_queries.Deduplicator, "_look_up", lambda self, ids, earlier: ids.withColumn("known", F.lit(False)))
+    assert spark_rows(QUERIES["p2_found"](spark, folder)) != want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -68,6 +68,16 @@ class Storage:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def make_folder(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
+    def move(self, source: str, target: str) -> None:
+        """Rename a folder; nothing happens if it has been."""
+        fs, p = self._at(source)
+        if fs.exists(p) and not fs.rename(p, self._at(target)[1]):
+            raise OSError(f"cannot move {source} to {target}")
+
     def create(self, path: str, value: dict) -> bool:
         """Write a JSON file whole or not at all. False if there is one already, which stays as it was."""
         fs, p = self._at(path)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.images import entries_json
-from ..functions.storage import workspace
+from ..functions.storage import Storage, workspace
 from ..operators.bucketed_table import BucketedTable
 from ..operators.history import HistoryStore
 from ..operators.incremental import RECORD, IncrementalRun, changed_jobs, open_imports, pending_offsets, untaken_records
 from ..operators.row_events import left_out, row_events, with_keys
 from ..operators.schema_registry import SchemaRegistry
 from ..streaming.deduplicate import Deduplicator
-from .tables import dealt, stream, table
+from .tables import dealt, table
 
 
 def _present(spark: SparkSession, d: str) -> DataFrame:
@@ -43,13 +43,14 @@ def p1_left_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHANGE = ["namespace", "name", "lsn", "sequence"]
-#: Bytes of files that a micro-batch takes, so that a backlog of any size is taken in steps.
-BATCH_BYTES = 64 << 30
+#: Batches in which the deliveries are taken, and bytes of their files from which on there are more.
+BATCHES, BATCH_BYTES = 4, 64 << 30
 
 
 def _deduplicated(spark: SparkSession, d: str, payload: list[str]) -> Deduplicator:
-    run = Deduplicator(spark, workspace(spark, "deduplicate"), CHANGE, "received_at", "delivery_id", "lsn", payload=payload)
-    run.run(stream(spark, d, "modifications", maxBytesPerTrigger=str(BATCH_BYTES)).where("lsn is not null"))
+    run = Deduplicator(spark, workspace(spark, "deduplicate"), CHANGE, "received_at", "delivery_id", "lsn", delay="6 hours", payload=payload)
+    batches = max(BATCHES, -(-Storage(spark).size(f"{d}/modifications.parquet") // BATCH_BYTES))
+    run.replay(dealt(spark, d, "modifications", *CHANGE, "received_at", "delivery_id", *payload).where("lsn is not null"), batches)
     return run
 
 
@@ -59,8 +60,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_kept(spark: SparkSession, d: str) -> DataFrame:
-    """One copy of each change: the first that the state store let through."""
-    return _deduplicated(spark, d, ["timestamp", "before", "after"]).kept().select(*CHANGE, "timestamp", "before", "after")
+    """One copy of each change: of its deliveries in the first batch that has any, that with the least number."""
+    return _deduplicated(spark, d, ["timestamp", "before", "after"]).kept().select(*CHANGE, F.unix_micros("timestamp").alias("committed_us"), "before", "after")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +149,20 @@ SQL: dict[str, str] = {
             select namespace, name, case when kc is null then 'no key column' when a_type is distinct from 'OBJECT' and b_type is distinct from 'OBJECT' then 'no image'
                 when ak is null and bk is null then 'no key value' end as reason from m)
         select namespace, name, reason, count(*) as deliveries from w where reason is not null group by all""",
+    "p1_rows": f"""
+        with {_EVENTS}
+        select namespace, name, row_key, after as image from (
+            select *, row_number() over (partition by namespace, name, row_key order by ts desc, ch desc, lsn desc, sequence desc, alive desc, after desc) as rn from e)
+        where rn = 1 and alive""",
     "p2_found": """
         select namespace, name, lsn, sequence from modifications where lsn is not null
         group by namespace, name, lsn, sequence having count(*) > 1""",
+    "p2_kept": """
+        with b as (select min(epoch_us(received_at)) as low, max(epoch_us(received_at)) as high from modifications where lsn is not null),
+        s as (
+            select m.*, (coalesce(epoch_us(received_at), 0) - low) * 4 // (high - low + 1) as slice from modifications m, b where lsn is not null),
+        r as (select *, row_number() over (partition by namespace, name, lsn, sequence order by slice, delivery_id) as rn from s)
+        select namespace, name, lsn, sequence, epoch_us("timestamp") as committed_us, before, after from r where rn = 1""",
     "p3_found": f"""
         with {_KEYS},
         r as (
@@ -204,4 +216,16 @@ SQL: dict[str, str] = {
         c as (
             select *, lead(ts) over (partition by namespace, name, row_key order by ts) as until from w where state is distinct from was)
         select namespace, name, row_key, ts as valid_from, coalesce(until, 0) as valid_to from c where alive""",
+    "p5_versions": f"""
+        with {_EVENTS},
+        l as (
+            select *, case when alive then list_sort(list_filter(
+                list_transform(json_keys(after), lambda x: x || '=' || json_extract_string(after, '$."' || x || '"')), lambda v: v is not null)) end as state,
+                '{{' || array_to_string(list_transform(list_filter(list_sort(json_keys(after)), lambda x: json_extract_string(after, '$."' || x || '"') is not null),
+                    lambda x: to_json(x) || ':' || to_json(json_extract_string(after, '$."' || x || '"'))), ',') || '}}' as attributes
+            from (select *, row_number() over (partition by namespace, name, row_key, ts order by ch desc, lsn desc, sequence desc) as rn from e) where rn = 1),
+        w as (select *, lag(state) over (partition by namespace, name, row_key order by ts) as was from l),
+        c as (
+            select *, lead(ts) over (partition by namespace, name, row_key order by ts) as until from w where state is distinct from was)
+        select namespace, name, row_key, ts as valid_from, coalesce(until, 0) as valid_to, attributes from c where alive""",
 }
