@@ -44,7 +44,7 @@ def p1_left_out(spark: SparkSession, d: str) -> DataFrame:
 
 CHANGE = ["namespace", "name", "lsn", "sequence"]
 #: Batches in which the deliveries are taken, and bytes of their files from which on there are more.
-BATCHES, BATCH_BYTES = 4, 64 << 30
+BATCHES, BATCH_BYTES = 3, 64 << 30
 
 
 def _deduplicated(spark: SparkSession, d: str, payload: list[str]) -> Deduplicator:
@@ -157,10 +157,10 @@ SQL: dict[str, str] = {
     "p2_found": """
         select namespace, name, lsn, sequence from modifications where lsn is not null
         group by namespace, name, lsn, sequence having count(*) > 1""",
-    "p2_kept": """
+    "p2_kept": f"""
         with b as (select min(epoch_us(received_at)) as low, max(epoch_us(received_at)) as high from modifications where lsn is not null),
         s as (
-            select m.*, (coalesce(epoch_us(received_at), 0) - low) * 4 // (high - low + 1) as slice from modifications m, b where lsn is not null),
+            select m.*, (coalesce(epoch_us(received_at), 0) - low) * {BATCHES} // (high - low + 1) as slice from modifications m, b where lsn is not null),
         r as (select *, row_number() over (partition by namespace, name, lsn, sequence order by slice, delivery_id) as rn from s)
         select namespace, name, lsn, sequence, epoch_us("timestamp") as committed_us, before, after from r where rn = 1""",
     "p3_found": f"""

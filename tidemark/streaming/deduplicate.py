@@ -125,7 +125,11 @@ class Deduplicator:
             order = F.col(self.order)
             ids = ids.withColumn("asked", F.col("eligible") & (order.isNull() | (order <= F.lit(beyond))) if beyond is not None else F.col("eligible") & order.isNull())
             ids.write.mode("overwrite").parquet(at)
-            ids = self._look_up(spark.read.schema(ids.schema).parquet(at), earlier)
+            ids = spark.read.schema(ids.schema).parquet(at)
+            if ids.isEmpty():  # a batch in which the store only forgets
+                self._commit(number, None, None, 0)
+                return
+            ids = self._look_up(ids, earlier)
         else:
             ids = ids.withColumn("known", F.lit(False))
         new = F.col("eligible") & ~F.col("known")
@@ -136,9 +140,12 @@ class Deduplicator:
         shown.sortWithinPartitions("bucket", self.order).write.mode("overwrite").partitionBy("bucket").parquet(out)
         fresh = self._out(spark, [number])
         event, order, found = fresh.agg(F.max(F.unix_micros("latest")), F.max(self.order), F.count_if("known")).first()
+        self._commit(number, event, order, found)
+
+    def _commit(self, number: int, event: int | None, order: int | None, found: int) -> None:
         if not self.fs.exists(f"{self.path}/commits/{number:09d}.json"):
             self.fs.create(f"{self.path}/commits/{number:09d}.json", {"batch": number, "event_us": event, "order": order, "found_by_lookup": found})
-        self.fs.delete(at)
+        self.fs.delete(f"{self.path}/staged/batch={number}")
 
     def _look_up(self, ids: DataFrame, earlier: list[int]) -> DataFrame:
         """ids with ``known``: whether an earlier batch kept a copy."""
