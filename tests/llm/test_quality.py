@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import gbt
-from tidemark.llm.quality import SHAPES, STATISTICS, shapes, statistics, statistics_of
+from tidemark.llm.quality import SHAPES, STATISTICS, calibration_error, fit_shapes, held_out, shapes, statistics, statistics_of
 
 COMMON = [("en", w) for w in "the of and to in that a is was for on it with as by not".split()] + [("fr", "le"), (None, "zz"), ("de", None)]
 DOCS = "doc_id bigint, text string"
@@ -114,6 +114,20 @@ def test_a_shape_that_does_not_occur(spark, at):
     assert np.mean([r["shape"] == truth[r["doc_id"]] for r in rows]) > 0.97
 
 
+def test_hand_labels_kept_back_and_not_fitted_on(spark, at):
+    docs, truth = corpus(random.Random(9), 300)
+    labels = spark.createDataFrame([(i, "a", truth[i]) for i in range(300) if i % 3], "doc_id bigint, annotator string, shape string")
+    documents, words = spark.createDataFrame(docs, DOCS), spark.createDataFrame(COMMON, "lang string, word string")
+    rows = {r["shape"]: r for r in held_out(documents, words, labels, f"{at}/1").collect()}
+    assert sum(r["labelled"] for r in rows.values()) < 150 and len(rows) == 4 and all(r["precision"] > 0.9 and r["recall"] > 0.9 and r["calibration_error"] < 0.3 for r in rows.values())
+    all_labelled = spark.createDataFrame([(i, "a", s) for i, s in truth.items()], "doc_id bigint, annotator string, shape string")
+    stats = statistics(documents, words)
+    assert all(b.cuts == [] for b in fit_shapes(stats, all_labelled).boosters)
+    few = fit_shapes(stats, labels, per_shape=5)
+    assert all(b.cuts for b in few.boosters)
+    assert calibration_error(np.array([0.2] * 10), np.array([1, 1] + [0] * 8)) == pytest.approx(0) and calibration_error(np.zeros(0), np.zeros(0)) == 0
+
+
 def test_common_words_are_bounded(spark):
     many = spark.range(100_001).selectExpr("'en' as lang", "cast(id as string) as word")
     with pytest.raises(ValueError, match="100,000"):

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -91,27 +91,28 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def weak_label() -> Column:
-    """A shape by plain rules, for clear cases only; null for the others. The trees learn from these."""
+    """A shape by plain rules, for sure cases only; null for the others, which are about a quarter. The trees learn from these."""
     c = F.col
     return (
         F.when(c("words") == 0, "junk")
-        .when((c("even_fields") > 0.6) & (c("numeric_fields") > 0.55), "table")
-        .when((c("common_words") > 0.2) & ((c("sentence_words") > 0.5) | (c("lower_starts") > 0.3)) & (c("field_lines") < 0.45), "prose")
-        .when((c("strange") > 0.1) | (c("longest_words") > 0.3) | ((c("symbol_ratio") > 0.25) & (c("digits") < 0.2)), "junk")
-        .when((c("mean_word_length") < 2.5) | ((c("distinct_words") < 0.15) & (c("digits") < 0.1)), "junk")
-        .when((c("distinct_words") < 0.25) & (c("digits") < 0.02) & (c("marked_lines") < 0.3), "junk")
-        .when((c("common_words") < 0.06) & (c("titled") < 0.2) & (c("marked_lines") < 0.3), "junk")
-        .when((c("marked_lines") > 0.6) & (c("words_a_line") < 14) & (c("sentence_words") < 0.5) & (c("common_words") < 0.2), "list")
-        .when((c("words_a_line") < 6) & (c("titled") > 0.6) & (c("distinct_words") > 0.4) & (c("sentence_words") < 0.5), "list")
+        .when((c("even_fields") > 0.75) & (c("numeric_fields") > 0.65) & (c("common_words") < 0.3), "table")
+        .when((c("common_words") > 0.36) & (c("sentence_words") > 0.8) & (c("field_lines") < 0.35) & (c("strange") < 0.01), "prose")
+        .when((c("strange") > 0.15) | ((c("longest_words") > 0.5) & (c("field_lines") < 0.5)) | ((c("symbol_ratio") > 0.3) & (c("digits") < 0.15)), "junk")
+        .when((c("mean_word_length") < 2.2) | ((c("distinct_words") < 0.12) & (c("digits") < 0.08)), "junk")
+        .when((c("distinct_words") < 0.2) & (c("digits") < 0.01) & (c("marked_lines") < 0.2), "junk")
+        .when((c("common_words") < 0.04) & (c("titled") < 0.15) & (c("marked_lines") < 0.2) & (c("digits") < 0.1) & (c("field_lines") < 0.5), "junk")
+        .when((c("marked_lines") > 0.75) & (c("words_a_line") < 12) & (c("sentence_words") < 0.3) & (c("common_words") < 0.12), "list")
+        .when((c("words_a_line") < 5.5) & (c("titled") > 0.7) & (c("distinct_words") > 0.45) & (c("sentence_words") < 0.3) & (c("numeric_fields") < 0.3), "list")
     )
 
 
 @dataclass
 class ShapeModel:
-    """One booster a shape and the calibration of its margins."""
+    """One booster a shape, the calibration of its margins, and what the hand labels kept back for it say: (shape, labelled, precision, recall, calibration_error)."""
 
     boosters: list[gbt.Booster]
     calibration: list[tuple[float, float]]
+    checked: list[tuple[str, int, float | None, float | None, float | None]]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = [1 / (1 + np.exp(-np.clip(a * b.margin(x) + c, -30, 30))) for b, (a, c) in zip(self.boosters, self.calibration)]
@@ -119,26 +120,43 @@ class ShapeModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def calibration_error(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
+    """The mean distance of stated from actual shares over bins of what is stated, weighted by rows."""
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    return float(sum(abs(p[at == k].sum() - y[at == k].sum()) for k in range(bins)) / max(1, len(p)))
+
+
 def fit_shapes(stats: DataFrame, doc_labels: DataFrame, per_shape: int = 3000, checked: int = 5000, rounds: int = 40) -> ShapeModel:
-    """Boosted trees fitted on at most ``per_shape`` weakly labelled documents of each shape, calibrated on at most ``checked`` hand-labelled ones.
+    """Boosted trees fitted on at most ``per_shape`` weakly labelled documents of each shape, calibrated on hand-labelled ones, of which at most ``checked`` are used.
 
-    Both samples are the documents with the least hashes of their ids, so the bound holds at every size. Of several labels
-    of a document the commonest counts, ties by name. A shape without weak labels is never predicted; without hand
-    labels the margins stay as they are.
+    Both samples are the documents with the least hashes of their ids, so the bound holds at every size; those of a shape are found by a threshold on the
+    hash from its count, so no task sorts a shape. Documents with a hand label are not fitted on. The hand labels are cut in two by hash: one half
+    calibrates, the other is kept back for ``ShapeModel.checked``. Of several labels of a document the commonest counts, ties by
+    name. A shape without weak labels is never predicted; without hand labels the margins stay as they are.
     """
     hashed = F.xxhash64("doc_id")
-    weak = stats.withColumn("shape", weak_label()).where("shape is not null").withColumn("h", hashed)
-    by_shape = Window.partitionBy("shape").orderBy("h", "doc_id")
-    rows = weak.withColumn("n", F.row_number().over(by_shape)).where(F.col("n") <= per_shape).orderBy("shape", "n").select("shape", *STATISTICS).toPandas()
+    weak = stats.withColumn("shape", weak_label()).where("shape is not null")
+    counts = {r["shape"]: r["count"] for r in weak.groupBy("shape").count().collect()}  # four rows
+    share = F.coalesce(*[F.when(F.col("shape") == s, F.lit(min(1.0, 1.1 * per_shape / n))) for s, n in counts.items()], F.lit(0.0))
+    few = weak.withColumn("h", hashed).where(F.pmod("h", F.lit(1 << 32)) < share * float(1 << 32)).select("doc_id", "shape", "h", *STATISTICS)
+    rows = few.join(doc_labels.select("doc_id").distinct(), "doc_id", "left_anti").toPandas()
+    rows = rows.assign(h=rows["h"].to_numpy(np.int64) % (1 << 32)).sort_values(["shape", "h", "doc_id"]).groupby("shape").head(per_shape)
     x, y = rows[STATISTICS].to_numpy(float), rows["shape"].to_numpy()
     boosters = [gbt.fit(x, (y == s).astype(float), rounds) if (y == s).any() else gbt.Booster([], [], [], [], -30.0) for s in SHAPES]
     votes = doc_labels.where(F.col("shape").isin(SHAPES)).groupBy("doc_id", "shape").count()
     settled = votes.groupBy("doc_id").agg(F.min_by("shape", F.struct(-F.col("count"), F.col("shape"))).alias("shape"))
     least = settled.orderBy(hashed, "doc_id").limit(checked)
-    held = stats.join(F.broadcast(least), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("shape", *STATISTICS).toPandas()
-    hx, hy = held[STATISTICS].to_numpy(float), held["shape"].to_numpy()
-    calibration = [gbt.platt(b.margin(hx), (hy == s).astype(float)) if len(held) and b.cuts else (1.0, 0.0) for b, s in zip(boosters, SHAPES)]
-    return ShapeModel(boosters, calibration)
+    held = stats.join(F.broadcast(least), "doc_id").dropDuplicates(["doc_id"]).select("shape", hashed.alias("h"), *STATISTICS).orderBy("h").toPandas()
+    hx, hy, tuned = held[STATISTICS].to_numpy(float), held["shape"].to_numpy(), held["h"].to_numpy(np.int64) // 2 % 2 == 0
+    calibration = [gbt.platt(b.margin(hx[tuned]), (hy[tuned] == s).astype(float)) if tuned.any() and b.cuts else (1.0, 0.0) for b, s in zip(boosters, SHAPES)]
+    model = ShapeModel(boosters, calibration, [])
+    kept = hx[~tuned]
+    p = model.probabilities(kept) if len(kept) else np.zeros((0, len(SHAPES)))
+    best, truth = p.argmax(axis=1) if len(kept) else np.zeros(0, int), hy[~tuned]
+    for k, s in enumerate(SHAPES):
+        right, found, there = int(((best == k) & (truth == s)).sum()), int((best == k).sum()), int((truth == s).sum())
+        model.checked.append((s, there, right / found if found else None, right / there if there else None, calibration_error(p[:, k], truth == s) if len(kept) else None))
+    return model
 
 
 def shapes(documents: DataFrame, common_words: DataFrame, doc_labels: DataFrame, path: str) -> DataFrame:
@@ -157,3 +175,12 @@ def shapes(documents: DataFrame, common_words: DataFrame, doc_labels: DataFrame,
             yield frame.assign(shape=[SHAPES[i] for i in best], probability=p[np.arange(len(frame)), best])
 
     return stats.mapInPandas(score, "doc_id bigint, " + ", ".join(f"{x} double" for x in STATISTICS) + ", shape string, probability double")
+
+
+def held_out(documents: DataFrame, common_words: DataFrame, doc_labels: DataFrame, path: str) -> DataFrame:
+    """(shape, labelled, precision, recall, calibration_error, trees_decide) against the hand labels kept back; ``trees_decide`` is the share of all documents without a weak label."""
+    stats = stored(statistics(documents, common_words), f"{path}/statistics")
+    model = fit_shapes(stats, doc_labels)
+    rows = documents.sparkSession.createDataFrame(model.checked, "shape string, labelled bigint, precision double, recall double, calibration_error double")
+    share = stats.agg(F.avg(weak_label().isNull().cast("double")).alias("trees_decide"))
+    return rows.join(F.broadcast(share))  # one row

@@ -8,7 +8,7 @@ from ..functions.storage import workspace
 from ..plans.tables import dealt, table
 from .leaks import find_leaks
 from .mixture import Mixture
-from .quality import shapes
+from .quality import held_out, shapes
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +44,10 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _shapes(spark, d)
 
 
-QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How far the shapes agree with hand labels that the model has not seen."""
+    return held_out(dealt(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words"), table(spark, d, "doc_labels"), workspace(spark, "quality"))
+
+
+QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_held_out": p8_held_out}
 SQL: dict[str, str] = {}
