@@ -123,7 +123,7 @@ def test_hand_labels_kept_back_and_not_fitted_on(spark, at):
     all_labelled = spark.createDataFrame([(i, "a", s) for i, s in truth.items()], "doc_id bigint, annotator string, shape string")
     stats = statistics(documents, words)
     assert all(b.cuts == [] for b in fit_shapes(stats, all_labelled).boosters)
-    few = fit_shapes(stats, labels, per_shape=5)
+    few = fit_shapes(stats, labels, per_shape=40)
     assert all(b.cuts for b in few.boosters)
     assert calibration_error(np.array([0.2] * 10), np.array([1, 1] + [0] * 8)) == pytest.approx(0) and calibration_error(np.zeros(0), np.zeros(0)) == 0
 
