@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidemark.operators.bucketed_table import BucketedTable, Conflict
-from tidemark.operators.row_events import row_events, with_keys
+from tidemark.operators.row_events import left_out, row_events, with_keys
 
 from .capture import DOGS, MODIFICATIONS, SCHEMAS, change, present, random_log, schema_entry
 
@@ -112,3 +112,15 @@ def test_hot_key_is_combined_before_the_shuffle(spark, at):
     assert plan.count("HashAggregate") == 2
     other = schema_entry(2, 0, 1, [("tag", 20, True)], name="cats")
     assert events_of(spark, [change(1, 1, 1, None, {"tag": 5}, name="cats")], f"{at}/k2", (DOGS, other)).first()["row_key"] == "5"
+
+
+def test_composite_keys_and_what_is_left_out(spark, at):
+    two = schema_entry(1, 0, 1, [("id", 20, True), ("msg", 25), ("part", 25, True)])
+    later = schema_entry(3, 0, 9, [("id", 20, True), ("msg", 25), {"name": "part", "type": "25"}])  # an entry that leaves a mark out
+    rows = [change(i, i, i + 1, None, {"id": 1, "part": p, "msg": "m"}) for i, p in enumerate("abc")]
+    rows += [change(3, 3, 10, {"id": 1, "part": "c"}, None), change(4, 4, 11, {"part": "b", "id": 1}, {"id": 2, "part": "b"}), change(5, 5, 12, None, {"id": 1}), change(6, 6, 13, None, None), change(7, 7, 14, None, {"id": 1}, name="keyless")]
+    table = BucketedTable(spark, f"{at}/t")
+    table.apply(events_of(spark, rows, f"{at}/k", (two, later)))
+    assert found(table) == {("public", "dogs", '["1","a"]', 1, 1), ("public", "dogs", '["2","b"]', 11, 1)}
+    keyed = with_keys(spark.createDataFrame(rows, MODIFICATIONS), spark.createDataFrame([two, later], SCHEMAS), f"{at}/k2")
+    assert {tuple(r) for r in left_out(keyed).collect()} == {("public", "dogs", "no key value", 1), ("public", "dogs", "no image", 1), ("public", "keyless", "no key column", 1)}

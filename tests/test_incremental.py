@@ -1,3 +1,5 @@
+import pytest
+
 from tidemark.operators.incremental import IncrementalRun, beyond, changed_jobs, open_imports, pending_offsets, runs, untaken_records
 from tidemark.operators.row_events import with_keys
 
@@ -120,3 +122,45 @@ def test_a_newer_import_job_takes_its_rows_again(spark, at):
         run.execute(number, lambda plan: untaken_records(plan, keyed, f"{at}/{number}"))
         counts.append(sorted((r["record_key"], r["offset"]) for r in run.records().where("kind = 'row'").collect()))
     assert counts == [[("2", 1)], [("2", 1)], [("1", 2), ("2", 1), ("2", 2)]]
+
+
+def test_two_batches_with_a_crash_between(spark, at, monkeypatch):
+    """The second run dies after its records are written and before its commit; the next replays its plan though the log has grown, and puts nothing in twice."""
+    mods = [change(i, 1, 100 + i, None, {"id": i}, file_no=i // 5) for i in range(20)]
+    log = [run_row(1, "started", 1, 0, 1), run_row(1, "success", 2, 0, 1)]
+    table = lambda rows: spark.createDataFrame(rows, MODIFICATIONS)
+    runs, jobs, entries = spark.createDataFrame(log, RUNS), spark.createDataFrame([], JOBS), spark.createDataFrame([DOGS], SCHEMAS)
+
+    def batch(run, deliveries):
+        number = run.plan(lambda: {"offsets": pending_offsets(deliveries, runs), "imports": open_imports(jobs, numbered=True), "jobs": changed_jobs(jobs, runs)})
+        run.execute(number, lambda plan: untaken_records(plan, with_keys(deliveries, entries, f"{at}/keys"), f"{at}/{number}"))
+        return number
+
+    def keys(run):
+        return sorted(r["record_key"] for r in run.records().collect())
+
+    run = IncrementalRun(spark, f"{at}/run")
+    assert batch(run, table(mods)) == 0 and keys(run) == [f"{100 + i}/1" for i in range(10, 20)]
+    more = mods + [change(100 + i, 1, 110 + i, None, {"id": i}, file_no=7) for i in range(15)]
+    create = run.fs.create
+    monkeypatch.setattr(run.fs, "create", lambda path, value: (_ for _ in ()).throw(OSError("lost")) if "/commits/" in path else create(path, value))
+    with pytest.raises(OSError, match="lost"):
+        batch(run, table(more))
+    run = IncrementalRun(spark, f"{at}/run")
+    assert keys(run) == [f"{100 + i}/1" for i in range(10, 20)]
+    grown = table([*more, change(500, 1, 900, None, {"id": 1}, file_no=8)])
+    assert batch(run, grown) == 1 and keys(run) == [f"{100 + i}/1" for i in range(10, 25)]  # 110 to 119 were in the sink
+    assert run.fs.load(f"{run.path}/commits/{1:09d}.json")["compared_with"] == [0]
+    assert batch(run, grown) == 2 and keys(run) == [f"{100 + i}/1" for i in range(10, 25)] + ["900/1"]
+
+
+def test_scans_are_told_what_is_pending(spark, at):
+    spark.createDataFrame([change(i, 1, 100 + i, None, {"id": i}, file_no=i // 5) for i in range(50)], MODIFICATIONS).write.parquet(f"{at}/log")
+    mods = spark.read.parquet(f"{at}/log")
+    runs = spark.createDataFrame([run_row(1, "started", 1, 0, 7), run_row(1, "success", 2, 0, 7)], RUNS)
+    jobs = spark.createDataFrame([], JOBS)
+    keyed = with_keys(mods, spark.createDataFrame([DOGS], SCHEMAS), f"{at}/keys")
+    found = untaken_records({"offsets": pending_offsets(mods, runs), "imports": open_imports(jobs), "jobs": changed_jobs(jobs, runs)}, keyed, f"{at}/p")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lsn,140), LessThanOrEqual(lsn,149)" in plan
+    assert found.where("kind = 'change'").count() == 10

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import Storage, attach
+from ..functions.storage import Storage, attach, stored
 from .row_events import TABLE, row_events
 
 PARTITION, OFFSET = "subscription_id", "file_no"
@@ -74,21 +74,35 @@ class IncrementalRun:
         return {x: self.spark.read.parquet(f"{self.path}/planned/batch={number}/{x}") for x in names}
 
     def execute(self, number: int, records: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
-        """Run a planned batch: ``records`` makes rows of RECORD and ``offset`` from its plan."""
-        if number in self._numbers("commits"):
+        """Run a planned batch: ``records`` makes rows of RECORD and ``offset`` from its plan.
+
+        Of the sink only those earlier batches are read whose offsets of a kind overlap with this one's.
+        """
+        if number in (done := self._numbers("commits")):
             return
-        found = records(self.planned(number)).select(*RECORD, "offset")
-        if self._numbers("commits"):
-            had = self.records().withColumn("had", F.lit(True))
-            both = found.withColumn("had", F.lit(False)).unionByName(had)
+        out = f"{self.path}/sink/batch={number}"
+        found = stored(records(self.planned(number)).select(*RECORD, "offset").distinct(), f"{self.path}/staged/batch={number}")
+        spans = {r["kind"] or "": [r["low"], r["high"]] for r in found.groupBy("kind").agg(F.min("offset").alias("low"), F.max("offset").alias("high")).collect()}  # three rows
+        before = [x for x in done if self._overlap(self.fs.load(f"{self.path}/commits/{x:09d}.json").get("spans"), spans)]
+        if before:
+            both = found.withColumn("had", F.lit(False)).unionByName(self._sink(before).withColumn("had", F.lit(True)))
             found = both.groupBy(*RECORD, "offset").agg(F.max("had").alias("had")).where("not had").drop("had")
-        else:
-            found = found.distinct()
-        found.write.mode("overwrite").parquet(f"{self.path}/sink/batch={number}")
-        self.fs.create(f"{self.path}/commits/{number:09d}.json", {"batch": number})
+        found.write.mode("overwrite").parquet(out)
+        self.fs.create(f"{self.path}/commits/{number:09d}.json", {"batch": number, "spans": spans, "compared_with": before})
+        self.fs.delete(f"{self.path}/staged/batch={number}")
+
+    @staticmethod
+    def _overlap(old: dict | None, new: dict) -> bool:
+        def meet(a: list, b: list) -> bool:
+            return None in (*a, *b) or (a[0] <= b[1] and b[0] <= a[1])
+
+        return old is None or any(k in old and meet(old[k], span) for k, span in new.items())
+
+    def _sink(self, numbers: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/sink/batch={x}" for x in numbers]).select(*RECORD, "offset")
 
     def records(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/sink/batch={x}" for x in self._numbers("commits")]).select(*RECORD, "offset")
+        return self._sink(self._numbers("commits"))
 
 
 def open_imports(import_jobs: DataFrame, numbered: bool = False) -> DataFrame:
@@ -126,16 +140,33 @@ def untaken_records(plan: dict[str, DataFrame], keyed: DataFrame, path: str) ->
 
     The offset of a row is its import job, so a newer job takes a row again (0 if the plan does not number the jobs).
 
-    ``keyed``: modifications with key_columns and key_type. The deliveries of a change are combined before the shuffle.
+    ``keyed``: modifications with key_columns and key_type. Only deliveries between the first and the last pending offset are read for news; the changes found
+    there are looked up among taken deliveries, of which only those between their first and last lsn are read.
     """
     # A null partition or offset is a key of its own: it is in no taken range, so it is pending.
     whole = [F.coalesce(F.col(PARTITION).cast("string"), F.lit("")).alias("partition"), F.coalesce(OFFSET, F.lit(0)).alias("at")]
     nulls = F.concat(F.col(PARTITION).isNull().cast("string"), F.col(OFFSET).isNull().cast("string")).alias("nulls")
-    pending = plan["offsets"].select(*whole, nulls, F.lit(True).alias("pending"))
-    log = keyed.where("lsn is not null").select(*whole, nulls, *TABLE, "lsn", "sequence")
-    marked = attach(log, pending, f"{path}/pending", ["partition", "at", "nulls"], ["lsn", "sequence"])
-    changes = marked.groupBy(*TABLE, "lsn", F.coalesce("sequence", F.lit(0)).alias("sequence")).agg(F.max(F.col("pending").isNull()).alias("taken")).where("not taken")
-    change = changes.select(F.lit("change").alias("kind"), *TABLE, F.concat_ws("/", "lsn", "sequence").alias("record_key"), F.col("lsn").alias("offset"))
+    pending = stored(plan["offsets"].select(*whole, nulls, F.lit(True).alias("pending")), f"{path}/offsets")
+    order = F.coalesce("sequence", F.lit(0)).alias("sequence")
+    missing = F.concat(*[F.col(c).isNull().cast("string") for c in TABLE]).alias("missing")
+    names = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in TABLE]
+    log = keyed.where("lsn is not null")
+    delivery = [*whole, nulls, *names, missing, "lsn", order]
+    change_id = [f"_{c}" for c in TABLE] + ["missing", "lsn", "sequence"]
+    # The scan is told the span of pending offsets, and then that of the changes found there.
+    low, high, some = pending.where("nulls = 'falsefalse'").agg(F.min("at"), F.max("at"), F.count("*")).first()
+    without = pending.count() > some
+    inside = F.col(OFFSET).between(low, high) if some else F.lit(False)
+    near = log.where(inside | F.col(OFFSET).isNull() | F.col(PARTITION).isNull() if without else inside)
+    on = ["partition", "at", "nulls"]
+    news = stored(attach(near.select(*delivery), pending, f"{path}/pending", on, ["lsn", "sequence"], "inner").select(*change_id).distinct(), f"{path}/news")
+    first, last = news.agg(F.min("lsn"), F.max("lsn")).first()
+    there = log.where(F.col("lsn").between(first, last) if first is not None else F.lit(False))
+    others = attach(there.select(*delivery), pending, f"{path}/pending-again", on, ["lsn", "sequence"]).where("pending is null").select(*change_id)
+    taken = attach(others, news.withColumn("is_new", F.lit(True)), f"{path}/news-again", change_id, change_id, "inner").select(*change_id).distinct()
+    changes = news.join(taken, change_id, "left_anti")
+    table = [F.when(F.substring("missing", 1, 4) == "true", None).otherwise(F.col("_namespace")).alias("namespace"), F.when(F.col("missing").endswith("true"), None).otherwise(F.col("_name")).alias("name")]
+    change = changes.select(F.lit("change").alias("kind"), *table, F.concat_ws("/", "lsn", "sequence").alias("record_key"), F.col("lsn").alias("offset"))
     imports = plan["imports"] if "job" in plan["imports"].columns else plan["imports"].withColumn("job", F.lit(0))
     imported = attach(keyed.where("lsn is null"), imports, f"{path}/imports", TABLE, ["timestamp", "after"], "inner")
     events = row_events(imported, payload=False, extra=["cursor", "key_type", "job"]).where("alive").where(beyond(F.col("row_key"), F.col("cursor"), F.col("key_type")))
