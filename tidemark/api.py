@@ -110,7 +110,7 @@ class Subscription:
         """Follow a recorded replication stream into the raw tables, flushing at the interval, or all there is now if ``drain``."""
         replication.register(self.spark)
         source = self.spark.readStream.format("recorded_replication").option("path", recording).option("batch", self.options.messages).load()
-        messages = decode(source, "data", ["slot", "position"]).select("slot", "position", F.to_json("message").alias("message"))
+        messages = decode(source, "data", ["slot", "position"]).select("slot", "position", "message")
         images = "map<string,string>"
         entries = changelog_stream(messages).select(
             "slot", "position", "kind", F.timestamp_micros("timestamp_us").alias("timestamp"), "namespace", "name", "lsn", "sequence", "message_type", "spec",

@@ -281,9 +281,9 @@ def wal_entries(s: SparkSession, d: str) -> DataFrame:
 
 def streamed_entries(s: SparkSession, d: str) -> DataFrame:
     """The same as a stream, with the open transaction and the relations of each slot as state."""
-    decoded = pgoutput.decode(_recorded(stream(s, d, "events"), F.col("event_id") % 5 == 4), "data", ["slot", "position"])
+    decoded = pgoutput.decode(_recorded(stream(s, d, "events", maxBytesPerTrigger=str(256 << 20)), F.col("event_id") % 5 == 4), "data", ["slot", "position"])
     at = workspace(s, "streamed")
-    write_entries(changelog_stream(decoded.select("slot", "position", F.to_json("message").alias("message"))), at)
+    write_entries(changelog_stream(decoded.select("slot", "position", "message")), at)
     return _event_rows(s.read.parquet(f"{at}/entries"), image(F.col("before")), image(F.col("after")))
 
 
