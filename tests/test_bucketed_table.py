@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from tidemark.operators.bucketed_table import BucketedTable, Conflict
+from tidemark.functions.storage import Conflict
+from tidemark.operators import bucketed_table
+from tidemark.operators.bucketed_table import BucketedTable
 from tidemark.operators.row_events import left_out, row_events, with_keys
 
 from .capture import DOGS, MODIFICATIONS, SCHEMAS, change, present, random_log, schema_entry
@@ -124,3 +126,15 @@ def test_composite_keys_and_what_is_left_out(spark, at):
     assert found(table) == {("public", "dogs", '["1","a"]', 1, 1), ("public", "dogs", '["2","b"]', 11, 1)}
     keyed = with_keys(spark.createDataFrame(rows, MODIFICATIONS), spark.createDataFrame([two, later], SCHEMAS), f"{at}/k2")
     assert {tuple(r) for r in left_out(keyed).collect()} == {("public", "dogs", "no key value", 1), ("public", "dogs", "no image", 1), ("public", "keyless", "no key column", 1)}
+
+
+def test_split_and_vacuum(spark, at, monkeypatch):
+    table = BucketedTable(spark, f"{at}/t", buckets=2)
+    table.apply(events_of(spark, [change(i, 1, i, None, {"id": i}) for i in range(50)], f"{at}/k"))
+    monkeypatch.setattr(bucketed_table, "BUCKET_BYTES", max(1, table.size() // 6))
+    table.apply(events_of(spark, [change(100, 2, 100, {"id": 7}, None)], f"{at}/k2"))
+    assert table.manifest()["buckets"] == 8 and table.manifest()["version"] == 3
+    assert {r[2] for r in found(table)} == {str(i) for i in range(50) if i != 7} and table.rows(1).count() == 50
+    assert table.vacuum(keep=1) > 0 and table.numbers() == [3] and len(found(table)) == 49
+    touched = [b for b in range(8) if f"bucket={b}" in " ".join(table.manifest()["files"].values())]
+    assert touched and BucketedTable(spark, f"{at}/t").rows().count() == 49

@@ -4,25 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import Storage
+from ..functions.storage import Versions
 from .row_events import ORDER, ROW
 
 STATE = "namespace string, name string, row_key string, ts bigint, is_change int, lsn bigint, sequence bigint, alive boolean, after string, bucket int"
 
-
+#: Bytes that buckets hold on average at most.
+BUCKET_BYTES = 1 << 30
 #: Ids of batches that a manifest remembers, so that a replay of one of the last is known.
 REMEMBERED = 1000
 
 
-class Conflict(RuntimeError):
-    """Another writer committed the version that this one was about to commit."""
-
-
-class BucketedTable:
-    """Rows by hash of their key in a fixed number of buckets; each version is a manifest that names the files of every bucket.
+class BucketedTable(Versions):
+    """Rows by hash of their key in buckets; each version is a manifest that names the files of every bucket.
 
     ``apply`` folds a batch of row events to the last one of each key (combined before the shuffle, so a hot key sends one
     row per map task), routes them to buckets, merges only the buckets they touch with a sort-merge join, writes
@@ -33,24 +30,10 @@ class BucketedTable:
 
     The order of events is (ts, is_change, lsn, sequence) within a key, not that of arrival. Ended rows stay as tombstones,
     so a change that arrives late cannot bring a row back. Applying the same batch, or any delivery, again changes
-    nothing; ``batch_id`` makes a replay skip the work too. An empty batch commits no version.
+    nothing; ``batch_id`` makes a replay skip the work too. An empty batch commits no version. Buckets that hold over BUCKET_BYTES
+    on average are split in as many as bring them below it (a power of two), so a touched bucket is never dear to rewrite.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.fs = spark, path.rstrip("/"), Storage(spark)
-        if not self.fs.names(f"{self.path}/manifests"):
-            count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            self.fs.create(self._manifest(0), {"version": 0, "buckets": count, "files": {}, "batches": []})
-
-    def _manifest(self, version: int) -> str:
-        return f"{self.path}/manifests/{version:012d}.json"
-
-    def manifest(self, version: int | None = None) -> dict:
-        """The newest manifest, or that of an older version."""
-        if version is None:
-            version = max(int(x.removesuffix(".json")) for x in self.fs.names(f"{self.path}/manifests") if x.endswith(".json"))
-        return self.fs.load(self._manifest(version))
-
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], STATE)
@@ -63,6 +46,8 @@ class BucketedTable:
 
     def apply(self, events: DataFrame, batch_id: str | None = None) -> int:
         """Apply row events (columns as of row_events); the version that holds them."""
+        if (full := self.size() // (self.manifest()["buckets"] * BUCKET_BYTES)) > 0:
+            self.split(2 ** full.bit_length())
         old = self.manifest()
         if batch_id is not None and batch_id in old["batches"]:
             return old["version"]
@@ -75,14 +60,20 @@ class BucketedTable:
         if held:
             self._write(self._merge([old["files"][str(b)] for b in held], [f"{routed_at}/bucket={b}" for b in held]), merged_at, count)
         files = {**old["files"], **{str(b): f"{merged_at if b in held else routed_at}/bucket={b}" for b in touched}}
-        new = {"version": old["version"] + 1, "buckets": count, "files": files, "batches": [*old["batches"], *([batch_id] if batch_id else [])][-REMEMBERED:]}
         if not touched and batch_id is None:
             return old["version"]
-        if not self.fs.create(self._manifest(new["version"]), new):
-            raise Conflict(f"version {new['version']} of {self.path} is taken")
+        version = self.commit(old, files=files, batches=[*old["batches"], *([batch_id] if batch_id else [])][-REMEMBERED:])
         for b in held:
             self.fs.delete(f"{routed_at}/bucket={b}")
-        return new["version"]
+        return version
+
+    def split(self, factor: int) -> int:
+        """The same rows in ``factor`` times as many buckets, as a new version."""
+        old, at = self.manifest(), f"{self.path}/data/batch={uuid.uuid4().hex}"
+        count = old["buckets"] * factor
+        rows = self._read(sorted(old["files"].values())).withColumn("bucket", self._bucket(count))
+        rows.repartition(count, *ROW).write.partitionBy("bucket").parquet(at)
+        return self.commit(old, buckets=count, files={x.partition("=")[2]: f"{at}/{x}" for x in self.fs.names(at) if x.startswith("bucket=")})
 
     @staticmethod
     def _bucket(count: int):

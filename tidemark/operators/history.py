@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.images import entries, entries_json, image
-from ..functions.storage import Storage, attach, stored
-from .bucketed_table import Conflict
+from ..functions.storage import Versions, attach
 from .row_events import ORDER, ROW
 from .segments import carried, segmented
 
@@ -20,7 +19,7 @@ STORE = f"namespace string, name string, row_key string, since bigint, upto bigi
 START = -(1 << 63)
 
 
-class HistoryStore:
+class HistoryStore(Versions):
     """Checkpoint-delta storage of row histories, in buckets by hash of the row.
 
     A row's history is a list of chains of at most ``every`` steps, each stored as one record: a checkpoint (the full version at its head) and
@@ -38,15 +37,8 @@ class HistoryStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, every: int = 32, buckets: int | None = None):
-        self.spark, self.path, self.every, self.fs = spark, path.rstrip("/"), every, Storage(spark)
-        if not self.fs.names(f"{self.path}/manifests"):
-            self.fs.create(self._manifest(0), {"version": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "files": {}})
-
-    def _manifest(self, version: int) -> str:
-        return f"{self.path}/manifests/{version:012d}.json"
-
-    def manifest(self) -> dict:
-        return self.fs.load(self._manifest(max(int(x.removesuffix(".json")) for x in self.fs.names(f"{self.path}/manifests") if x.endswith(".json"))))
+        super().__init__(spark, path, buckets)
+        self.every = every
 
     def apply(self, events: DataFrame) -> int:
         """Add row events (columns as of row_events); the version that holds them."""
@@ -57,7 +49,7 @@ class HistoryStore:
         rest = None
         if old["files"]:
             touched = {str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect()}  # at most as many as there are buckets
-            if held := [x for b in sorted(touched) for x in old["files"].get(b, [])]:
+            if held := [old["files"][b] for b in sorted(touched) if b in old["files"]]:
                 keys = rows.select(*ROW).distinct()
                 chains = self._read(held)
                 rest = chains.join(keys, ROW, "left_anti")
@@ -66,14 +58,10 @@ class HistoryStore:
         if rest is not None:
             made = made.unionByName(rest.select(*made.columns))
         made.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self.path}/data/batch={tag}")
-        new = {x.partition("=")[2]: [f"{self.path}/data/batch={tag}/{x}"] for x in self.fs.names(f"{self.path}/data/batch={tag}") if x.startswith("bucket=")}
+        new = {x.partition("=")[2]: f"{self.path}/data/batch={tag}/{x}" for x in self.fs.names(f"{self.path}/data/batch={tag}") if x.startswith("bucket=")}
         for x in (f"staged-{tag}", f"joined-{tag}", f"large-{tag}"):
             self.fs.delete(f"{self.path}/{x}")
-        if not new:
-            return old["version"]
-        if not self.fs.create(self._manifest(old["version"] + 1), {**old, "version": old["version"] + 1, "files": {**old["files"], **new}}):
-            raise Conflict(f"version {old['version'] + 1} of {self.path} is taken")
-        return old["version"] + 1
+        return self.commit(old, files={**old["files"], **new}) if new else old["version"]
 
     def _stage(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows written once, as they are read several times."""
@@ -129,7 +117,7 @@ class HistoryStore:
 
     def chains(self) -> DataFrame:
         """What is stored: (namespace, name, row_key, since, upto, steps, bucket)."""
-        return self._read([x for b, folders in sorted(self.manifest()["files"].items()) for x in folders])
+        return self._read(sorted(self.manifest()["files"].values()))
 
     @staticmethod
     def _fold(steps: Column, shape: str, made: Callable[[Column, Column], Column], kept: Callable[[Column], Column]) -> Column:
