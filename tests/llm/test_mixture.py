@@ -75,3 +75,16 @@ def test_nothing_and_nulls(spark, at):
     assert {(r["doc_id"], r["source"]) for r in m.drawn().collect()} == {(1, "a")}
     m = mixture(spark, f"{at}/3", [(1, "some", "a")], [])
     assert m.drawn().count() == 0 and m.report().count() == 0
+
+
+def test_many_repeats_of_a_small_source(spark, at):
+    docs = [(i, "word " * (1 + i % 7), "small" if i < 40 else "large") for i in range(2000)]
+    mix = Mixture(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame([("small", 0.6, 1000), ("large", 0.4, 1)], TARGETS), at, blocks=64)
+    quota = mix.quotas.set_index("source")["quota"]
+    assert mix.quotas.set_index("source")["blocks"]["small"] < 64 and len(mix.plan) < 64 * 9 * 2
+    rows = mix.drawn().toPandas()
+    copies = rows[rows["source"] == "small"].groupby("doc_id").size()
+    assert copies.max() - copies.min() <= 1 and copies.max() <= 1000
+    sums = rows.groupby("source")["tokens"].sum()
+    assert all(0 <= quota[s] - sums[s] <= 8 for s in ("small", "large"))
+    assert len(rows) == len(rows.drop_duplicates(["doc_id", "pass"]))

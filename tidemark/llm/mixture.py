@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import base64
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import attach, stored
 
 #: The split of a byte-level vocabulary's text into pieces (fixed values: the pattern published with it).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens that a shard holds, as long as there are from 16 to 4096 shards.
 SHARD_TOKENS = 1 << 28
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Passes over a source up to which its blocks stay as they are; with more of them fewer, larger blocks are drawn, so a plan does not grow with repeats.
+FINE_PASSES, LEAST_BLOCKS = 8, 16
 
 
 def source_name(source: Column) -> Column:
@@ -26,12 +31,14 @@ def source_name(source: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of every document with a source: tokens of its whole text, 0 for a null one."""
+    """(doc_id, source, tokens) of every document with a source: tokens of its whole text, 0 for a null one. The vocabulary's file is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -49,7 +56,8 @@ def draw_plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: in
     order, pass after pass, until the quota is reached; of the last, only ``limit`` tokens. The tree then splits the counts of blocks
     of all sources over the shards: at each node one half gets a multivariate-hypergeometric draw of the counts, so
     every block is drawn once and each shard's counts are those of a random cut. Returns (source, block, pass, shard,
-    limit), limit null for a whole block, and (source, available, quota).
+    limit), limit null for a whole block, and (source, available, quota, blocks): of a source drawn in more than FINE_PASSES passes ``block`` is
+    the number of a block modulo ``blocks``.
     """
     rng = np.random.default_rng(seed)
     total = int(blocks["tokens"].sum())
@@ -59,7 +67,10 @@ def draw_plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: in
         have = int(own["tokens"].sum())
         repeats = int(t.max_repeats) if not pd.isna(t.max_repeats) else 0
         quota = min(int(round((0.0 if pd.isna(t.target_share) else t.target_share) * total)), have * max(0, repeats))
-        quotas.append((t.source, have, quota))
+        passes, most = -(-quota // have) if have else 0, int(own["block"].max()) + 1 if have else 1
+        merged = most if passes <= FINE_PASSES else max(min(LEAST_BLOCKS, most), most * FINE_PASSES // passes)
+        own = own.assign(block=own["block"] % merged).groupby("block", as_index=False)["tokens"].sum()
+        quotas.append((t.source, have, quota, merged))
         left, number = quota, 0
         while left > 0:
             order = rng.permutation(len(own))
@@ -80,7 +91,7 @@ def draw_plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: in
         for j, source in enumerate(counts.index):
             rows = plan.index[plan["source"] == source].to_numpy()
             plan.loc[rng.permutation(rows), "shard"] = np.repeat(np.arange(shards), cuts[:, j])
-    return plan[["source", "block", "pass", "shard", "limit"]], pd.DataFrame(quotas, columns=["source", "available", "quota"])
+    return plan[["source", "block", "pass", "shard", "limit"]], pd.DataFrame(quotas, columns=["source", "available", "quota", "blocks"])
 
 
 def _split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -122,7 +133,11 @@ class Mixture:
     def drawn(self) -> DataFrame:
         """(shard, place, doc_id, source, pass, tokens): every copy, shuffled within its shard."""
         plan = self.spark.createDataFrame(self.plan.astype(object).where(self.plan.notna(), None), "source string, block bigint, pass bigint, shard int, limit double")
-        docs = self.sizes.where("tokens > 0").join(F.broadcast(plan), ["source", "block"])  # the plan has at most blocks x sources x passes rows
+        draws = plan.groupBy("source", F.col("block").alias("part")).agg(F.collect_list(F.struct("pass", "shard", "limit")).alias("draws"))  # a few passes
+        merged = F.coalesce(*[F.when(F.col("source") == r.source, F.lit(r.blocks)) for r in self.quotas.itertuples()], F.lit(1))  # a source a target
+        sized = self.sizes.where("tokens > 0").withColumn("part", F.pmod("block", merged))
+        placed = attach(sized, draws, f"{self.path}/plan-{uuid.uuid4().hex}", ["source", "part"], ["doc_id"], "inner").withColumn("draw", F.explode("draws"))
+        docs = placed.select("doc_id", "source", "tokens", F.col("part").alias("block"), "draw.*")
         order = F.xxhash64("doc_id", "pass", F.lit(self.seed + 1))
         whole = docs.where("limit is null")
         by_hash = Window.partitionBy("source", "block", "pass").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
