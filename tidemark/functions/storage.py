@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only if its stored files are at most this large and hold at most so many rows.
-BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 250_000
 #: Copies made of the smaller side, and parts of each key of the larger, when it is larger than that: an eighth of the shuffle partitions between these.
 LEAST_SALTS, MOST_SALTS = 16, 256
 

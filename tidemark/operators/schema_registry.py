@@ -123,13 +123,14 @@ class SchemaRegistry:
         ``rules`` or ``placed`` are replaced.
         """
         modifications = modifications.drop("attributes", "misfits", "rules", "placed")
-        rules = F.struct("column", "since", "until", "since_us", "until_us", "final", "type")
-        routes = self.lineages().groupBy(*TABLE).agg(F.sort_array(F.collect_list(rules)).alias("rules"))  # PostgreSQL has at most 1600 columns a table
+        rule = F.struct("since", "until", "since_us", "until_us", "final", "type")
+        by_column = self.lineages().groupBy(*TABLE, "column").agg(F.sort_array(F.collect_list(rule)).alias("rules"))  # as often as a name came and went
+        routes = by_column.groupBy(*TABLE).agg(F.map_from_entries(F.collect_list(F.struct("column", "rules"))).alias("rules"))  # PostgreSQL has at most 1600 columns a table
         routed = attach(modifications, routes, f"{self.path}/routes", TABLE, spread)
         pairs = F.coalesce(entries(image(F.col("after"))), entries(image(F.col("before"))), F.array().cast("array<struct<key: string, value: string>>"))
 
         def place(pair: Column) -> Column:
-            named = F.filter("rules", lambda r: r["column"] == pair["key"])
+            named = F.try_element_at("rules", pair["key"])
             there = F.filter(
                 named,
                 lambda r: F.when(F.col("lsn").isNotNull(), (r["since"] <= F.col("lsn")) & (F.col("lsn") < r["until"])).otherwise((r["since_us"] <= micros(F.col("timestamp"))) & (micros(F.col("timestamp")) < r["until_us"])),
