@@ -178,9 +178,9 @@ def shapes(documents: DataFrame, common_words: DataFrame, doc_labels: DataFrame,
 
 
 def held_out(documents: DataFrame, common_words: DataFrame, doc_labels: DataFrame, path: str) -> DataFrame:
-    """(shape, labelled, precision, recall, calibration_error, trees_decide) against the hand labels kept back; ``trees_decide`` is the share of all documents without a weak label."""
+    """(shape, labelled, precision, recall, calibration_error, trees_decide) of each shape that hand labels kept back have; ``trees_decide`` is the share of all documents without a weak label."""
     stats = stored(statistics(documents, common_words), f"{path}/statistics")
     model = fit_shapes(stats, doc_labels)
     rows = documents.sparkSession.createDataFrame(model.checked, "shape string, labelled bigint, precision double, recall double, calibration_error double")
     share = stats.agg(F.avg(weak_label().isNull().cast("double")).alias("trees_decide"))
-    return rows.join(F.broadcast(share))  # one row
+    return rows.where("labelled > 0").join(F.broadcast(share))  # one row
